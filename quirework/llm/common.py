@@ -116,6 +116,11 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of all texts, and the word offsets of each text."""
     folded, starts, ends, offsets = word_bounds(*text_bytes(texts))
+    return span_hashes(folded, starts, ends), offsets
+
+
+def span_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans are in order and don't overlap."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -128,7 +133,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum((folded[b0:b1].astype(np.uint64) + np.uint64(1)) * power[: b1 - b0], out=sums[1:])
         out[i:j] = (sums[ends[i:j] - b0] - sums[starts[i:j] - b0]) * inverse[starts[i:j] - b0]
         i = j
-    return mix64(out), offsets
+    return mix64(out)
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

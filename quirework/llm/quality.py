@@ -38,6 +38,8 @@ RULES = (
     Rule("ellipses", "ellipsis_line_ratio", None, 0.3),
     Rule("bullets", "bullet_line_ratio", None, 0.9),
 )
+#: Measures that the report of kept documents shows.
+SHOWN = ("mean_word", "symbols_per_word", "capital_ratio", "stutter_ratio", "repeated_line_ratio")
 #: Words from which on a text must have a stop word, and repeated neighbours from which on it counts as stuttering.
 LONG, STUTTERS = 100, 3
 
@@ -101,7 +103,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def oracle(where: str = "") -> str:
-    """The rules over ``documents`` in DuckDB."""
+    """The rules over ``documents`` in DuckDB; ``where`` are the columns to select."""
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     tests = []
     for r in RULES:
@@ -123,3 +125,8 @@ WITH s AS (SELECT *, coalesce(text, '') AS t, list_filter(regexp_split_to_array(
     CASE WHEN nl > 0 THEN len(list_filter(ls, lambda x: x[1] IN ('-', '*', '•', '·'))) / nl ELSE 0 END AS bullet_line_ratio FROM c),
   j AS (SELECT *, array_to_string(list_filter([{", ".join(tests)}], lambda x: x IS NOT NULL), ',') AS broken FROM m)
 SELECT {where or "doc_id, n_words, round(mean_word, 6) AS mean_word, round(symbols_per_word, 6) AS symbols_per_word, round(capital_ratio, 6) AS capital_ratio, round(stutter_ratio, 6) AS stutter_ratio, round(repeated_line_ratio, 6) AS repeated_line_ratio, broken, broken = '' AS keep"} FROM j"""
+
+
+def kept_oracle() -> str:
+    """The documents that break no rule, with the measures that the report shows."""
+    return oracle("doc_id, n_words, " + ", ".join(f"round({m}, 6) AS {m}" for m in SHOWN)) + " WHERE broken = ''"
