@@ -84,7 +84,7 @@ def _verdict(text: Column, rules: tuple[Rule, ...]) -> Column:
 
     def measure(t: Column) -> Column:
         words = F.filter(F.split(t, r"[ \t\r\n\f\x0B]+"), lambda w: w != "")
-        lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
+        lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
         return _let(words, lambda w: _let(lines, lambda x: _let(F.struct(*(m.cast("double").alias(k) for k, m in _measures(t, w, x).items())), judge)))
 
     return _let(F.coalesce(text, F.lit("")), measure)
