@@ -2,7 +2,8 @@
 
 A *token* is a maximal run of letters, digits and non-ASCII characters, or one of other visible characters;
 case counts.  A token that repeats the one before it is replaced by a marker, so that stutter looks alike
-whatever the word.  Features are the hashed uni- and bigrams that a text has, each once.  Two models, for
+whatever the word.  Features are the hashed uni- and bigrams that a text has, each once, and as cruder unigrams the
+first ``STEMS`` bytes of each token, since inflected words that training never saw share theirs.  Two models, for
 quality and for toxicity, share them.  Training sees a sample of at most ``train_rows`` labelled documents,
 those with the least hash of seed and identifier; every document is scored, as a sparse dot product.
 
@@ -23,17 +24,19 @@ from pyspark.sql import functions as F
 
 from quirework.llm.common import BASE, mix64, slices, span_hashes, text_bytes
 
+#: Bytes of a token that stand for its stem.
+STEMS = (5, 7)
 SAME = np.uint64(0x5A5A5A5A5A5A5A5A)
 
 
 class Ftrl(NamedTuple):
     """Hyperparameters: learning rate, smoothing, and the two penalties."""
 
-    alpha: float = 0.1
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
-    epochs: int = 3
+    l1: float = 4.0
+    l2: float = 0.0
+    epochs: int = 4
 
 
 def _classes() -> np.ndarray:
@@ -66,9 +69,12 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     marked = h.copy()
     marked[1:][together & (h[1:] == h[:-1])] = SAME
     two = mix64(marked[:-1] * np.uint64(BASE) + marked[1:])[together]
-    shift = np.uint64(64 - bits)
-    cell = np.concatenate([doc.astype(np.uint64) << np.uint64(32) | marked >> shift, doc[1:][together].astype(np.uint64) << np.uint64(32) | two >> shift])
-    cell = np.unique(cell)
+    shift, place = np.uint64(64 - bits), doc.astype(np.uint64) << np.uint64(32)
+    cells = [place | marked >> shift, place[1:][together] | two >> shift]
+    for n in STEMS:
+        longer = ends - starts > n
+        cells.append(place[longer] | mix64(span_hashes(buf, starts[longer], starts[longer] + n) + np.uint64(n)) >> shift)
+    cell = np.unique(np.concatenate(cells))
     return (cell & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(cell, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
 
 
@@ -76,21 +82,28 @@ class Learner:
     """FTRL-proximal: per-coordinate rates, weights that the penalty of absolute values keeps sparse."""
 
     def __init__(self, bits: int, heads: int, how: Ftrl) -> None:
-        self.how = how
-        self.z, self.n = np.zeros((heads, (1 << bits) + 1)), np.zeros((heads, (1 << bits) + 1))
+        self.how, self.heads = how, heads
+        # the sums z and n of all heads of a coordinate lie together in memory
+        self.sums = np.zeros(((1 << bits) + 1, 2 * heads))
 
-    def weights(self, at: np.ndarray | slice) -> np.ndarray:
-        z, n, h = self.z[:, at], self.n[:, at], self.how
-        return np.where(np.abs(z) <= h.l1, 0.0, -(z - np.sign(z) * h.l1) / ((h.beta + np.sqrt(n)) / h.alpha + h.l2))
+    def _weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        h = self.how
+        return np.where(np.abs(z) <= h.l1, 0.0, (np.sign(z) * h.l1 - z) / ((h.beta + np.sqrt(n)) / h.alpha + h.l2))
+
+    def weights(self) -> np.ndarray:
+        """Head × coordinate."""
+        return self._weights(self.sums[:, : self.heads], self.sums[:, self.heads :]).T
 
     def update(self, x: np.ndarray, y: np.ndarray) -> None:
         """One labelled document; the last coordinate is the bias."""
-        at = np.append(x, self.z.shape[1] - 1)
-        w = self.weights(at)
-        g = (1 / (1 + np.exp(-np.clip(w.sum(1), -35, 35))) - y)[:, None]
-        n = self.n[:, at]
-        self.z[:, at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.how.alpha * w
-        self.n[:, at] = n + g * g
+        at = np.append(x, len(self.sums) - 1)
+        own = self.sums[at]
+        z, n = own[:, : self.heads], own[:, self.heads :]
+        w = self._weights(z, n)
+        g = 1 / (1 + np.exp(-np.clip(w.sum(0), -35, 35))) - y
+        z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.how.alpha * w
+        n += g * g
+        self.sums[at] = own
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = 20, train_rows: int = 10_000, seed: int = 0, how: Ftrl = Ftrl()) -> np.ndarray:
@@ -121,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, train_rows: int =
         for _ in range(how.epochs):
             for k, own in enumerate(x):
                 learner.update(own, y[k])
-        w = learner.weights(slice(None))
+        w = learner.weights()
         return pa.table({"head": pa.array([0, 1], pa.int32()), "at": pa.array([np.flatnonzero(r).astype(np.uint32).tobytes() for r in w], pa.binary()), "w": pa.array([r[r != 0].tobytes() for r in w], pa.binary())})
 
     out = np.zeros((2, (1 << bits) + 1))

@@ -44,7 +44,7 @@ def source_epochs(docs: DataFrame, weights: dict[str, float] | None = None, max_
     filled = Window.orderBy("ratio", "source").rowsBetween(Window.unboundedPreceding, -1)
     rest = Window.orderBy("ratio", "source").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     ranked = table.withColumn("budget", total).withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(float("inf"))))
-    levels = ranked.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(filled), F.lit(0.0))) / F.sum("weight").over(rest))
+    levels = ranked.withColumn("level", F.try_divide(F.col("budget") - F.coalesce(F.sum("cap").over(filled), F.lit(0.0)), F.sum("weight").over(rest)))
     # the level at the first source that it doesn't clamp; if all are clamped there is none
     free = levels.withColumn("free", F.min(F.when((F.col("weight") > 0) & (F.col("level") < F.col("ratio")), F.struct("ratio", "source", "level"))).over(everything)["level"])
     share = F.when(F.col("weight") == 0, 0.0).when(F.col("free").isNull() | (F.col("ratio") <= F.col("free")), F.col("cap")).otherwise(F.col("free") * F.col("weight"))

@@ -187,7 +187,7 @@ def _repeats(suffixes: DataFrame, min_words: int, q: int, blocks: int) -> DataFr
         rows = SUFFIXES.rows(table)
         doc = np.concatenate([r["ids"][r["which"]] for r in rows])
         bucket, at, state = (np.concatenate([r[k] for r in rows]) for k in ("bucket", "at", "state"))
-        later = np.concatenate([r["later"] for r in rows]).reshape(-1, width)
+        later = np.concatenate([r["later"] for r in rows]).reshape(len(at), width)
         sent = np.flatnonzero(state != REPEAT)
         doc_s, at_s = doc[sent], at[sent]
         order, number = refine(bucket[sent], [later[sent, k] for k in range(width)], state[sent] == FIRST)

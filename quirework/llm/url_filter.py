@@ -56,7 +56,7 @@ REWRITES = (
     (r"^(https?://)www\.", r"\1"),
     (r"^(https?://[^/?]*)$", r"\1/"),
     (r"/index\.html?$", "/"),
-    (r"([^/:])/+$", r"\1"),
+    (r"^(https?://[^/?]*/.*[^/])/+$", r"\1"),
 )
 
 
