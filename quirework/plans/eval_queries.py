@@ -12,6 +12,7 @@ from quirework.evaluate import gate as Q
 from quirework.evaluate import metrics
 from quirework.evaluate import source as L
 from quirework.functions import maths as M
+from quirework.operators import bibliography as B
 from quirework.operators import formulas as O
 from quirework.operators import page as P
 from quirework.plans import fixtures
@@ -167,3 +168,22 @@ def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents that hold pipes as the rows of tables between rules."""
     lines = A.typeset(docs(spark, sf_dir)).filter(F.col("text").contains("|"))
     return P.ruled_tables(lines)
+
+
+@query()
+def bibliography_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of the fixture as a paragraph after its heading, split, parsed and linked."""
+    run = " ".join(f"[{k}] {t}" for k, t in enumerate(("A. Author, B. Writer. A first work. 2001.", "C. Third. Another work of note. 2002.", "D. Fourth. The last one. 2003."), 1))
+    rows = [(1, 0, "paragraph", None, None, "As [1, 3] and [4] say.", 0, 10.0), (1, 1, "heading", 1, None, "References", 1, 12.0), (1, 2, "paragraph", None, None, run, 1, 10.0), (1, 3, "heading", 1, None, "Appendix", 2, 12.0), (2, 0, "paragraph", None, None, "No references [1].", 0, 10.0)]
+    return B.extract_bibliography(spark.createDataFrame(rows, "doc_id long, ord int, type string, level int, ordered boolean, text string, page int, size float"))
+
+
+@query()
+def figures_among_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A captioned figure, one without caption, and labels within the first."""
+    from quirework.operators.placement import attach_figures
+
+    rows = [(1, k, t, None, None, x, 0, 72.0, y, 300.0, y + 10, 10.0, k) for k, (t, x, y) in enumerate((("paragraph", "above it all there is a text of more than twelve words, which stays where it is", 50.0), ("paragraph", "axis label", 150.0), ("caption", "Figure 1: a plot", 230.0), ("paragraph", "below", 300.0)))]
+    blocks = spark.createDataFrame(rows, "doc_id long, ord int, type string, level int, ordered boolean, text string, page int, x0 float, y0 float, x1 float, y1 float, size float, start int")
+    regions = spark.createDataFrame([(1, 0, 0, 72.0, 100.0, 300.0, 200.0), (1, 0, 1, 72.0, 500.0, 300.0, 600.0)], "doc_id long, page int, region int, x0 float, y0 float, x1 float, y1 float")
+    return attach_figures(blocks, regions)
