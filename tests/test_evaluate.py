@@ -80,3 +80,16 @@ def test_conversion_and_its_stream(spark, sf, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(convert(html_blocks(pages), "md", "light"))
     with pytest.raises(ValueError):
         convert(html_blocks(pages), "pdf")
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from quirework.__main__ import main
+
+    Q._primitives(spark).write.json(str(tmp_path / "d.json"))
+    assert main(["convert", str(tmp_path / "d.json")]) == 0
+    assert capsys.readouterr().out.startswith("# A Study of Things\n")
+    assert main(["text", str(tmp_path / "d.json"), "--page", "0"]) == 0
+    assert "1 Introduction" in capsys.readouterr().out
+    assert main(["probe", str(tmp_path / "d.json")]) == 0 and main(["dump", str(tmp_path / "d.json"), "--page", "3"]) == 0
+    assert main(["convert", f"{sf}/pages.parquet", "--out", str(tmp_path / "o"), "--caveman"]) == 0
+    assert spark.read.parquet(str(tmp_path / "o/md")).count() > 0
