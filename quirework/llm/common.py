@@ -172,6 +172,15 @@ def by_part(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, found, np.r_[begin, len(part)]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of an array, first ones first: small numbers leave runs of zeros, which shuffles compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+
+
+def _values(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 class Packed:
     """Rows of ``part`` and a binary per array, so that a shuffle moves dense arrays instead of one row per value."""
 
@@ -182,7 +191,7 @@ class Packed:
     def batch(self, rows: list[tuple[int, dict[str, np.ndarray]]]) -> pa.RecordBatch:
         arrays = [pa.array([p for p, _ in rows], pa.int32())]
         for k, t in self.types.items():
-            arrays.append(pa.array([np.ascontiguousarray(x[k], t).tobytes() for _, x in rows], pa.binary()))
+            arrays.append(pa.array([_planes(np.asarray(x[k], t)) for _, x in rows], pa.binary()))
         return pa.RecordBatch.from_arrays(arrays, ["part", *self.types])
 
     def split(self, part: np.ndarray, **arrays: np.ndarray) -> list[tuple[int, dict[str, np.ndarray]]]:
@@ -192,10 +201,11 @@ class Packed:
 
     def rows(self, table: pa.Table | pa.RecordBatch) -> list[dict[str, np.ndarray]]:
         columns = {k: table.column(k).to_pylist() for k in self.types}
-        return [{k: np.frombuffer(columns[k][i], t) for k, t in self.types.items()} for i in range(table.num_rows)]
+        return [{k: _values(columns[k][i], t) for k, t in self.types.items()} for i in range(table.num_rows)]
 
     def joined(self, table: pa.Table) -> dict[str, np.ndarray]:
-        return {k: np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in self.types.items()}
+        rows = self.rows(table)
+        return {k: np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, t) for k, t in self.types.items()}
 
 
 def slices(texts: pa.Array, most: int = 4 << 20) -> list[tuple[int, int]]:

@@ -8,9 +8,11 @@ the entries that cannot reach the threshold.
    The order decides only the work, never the result.
 3. Of a document with m n-grams, only the first ``m - ceil(t·m) + 1`` in that order enter the product: two
    documents of similarity t share one of these.  Column blocks are hash ranges of the n-grams; within a
-   block, every posting list yields its pairs, those whose sizes differ by more than t go, and the rest
-   are counted.
-4. Surviving entries are gathered into row blocks (by the partner with which a row shares most, so that a
+   block, every posting list yields its pairs, those whose sizes differ by more than t go, and the overlaps
+   of the rest are counted.
+4. The counts of all column blocks are added.  What two documents share beyond these lies behind the prefix of
+   the one whose prefix ends first, so that pairs whose count and that rest are below t/(1+t)·(m₁+m₂) go.
+5. Surviving entries are gathered into row blocks (by the partner with which a row shares most, so that a
    group of near copies is one block; large groups are cut into several), and the whole rows of A, sent
    once to each block that needs them, give exact overlaps.  An overlap below t/(1+t)·(m₁+m₂) is dropped.
 
@@ -31,9 +33,12 @@ from pyspark.sql import functions as F
 
 from quirework.llm.common import BASE, Packed, documents, mix64, part_of, parts, rolling, slices, text_keys, word_hashes, written
 
-POSTINGS = Packed(keys=np.int64, sizes=np.uint32, which=np.uint32, gram=np.uint32)
-ENTRIES = Packed(keys=np.int64, row=np.uint32, col=np.uint32)
+POSTINGS = Packed(keys=np.int64, sizes=np.uint32, last=np.uint32, which=np.uint32, gram=np.uint32)
+ENTRIES = Packed(keys=np.int64, sizes=np.uint32, last=np.uint32, row=np.uint32, col=np.uint32, votes=np.uint32)
 _CHUNK = 22  # log2 of the counters that the sketch has
+#: Shuffle partitions for one column block: in a larger block more of what two documents share is one entry.
+COLUMN_BLOCK = 2
+_SIEVE = 26  # log2 of the bits that the sieve of identifiers has
 _PIECES = 16
 
 
@@ -97,14 +102,17 @@ def _postings(docs: DataFrame, n: int, threshold: float, blocks: int) -> DataFra
         counts = sketch.value
         for batch in batches:
             texts = batch.column("text")
-            keys, sizes, which, grams = [], [], [], []
+            keys, sizes, last, which, grams = [], [], [], [], []
             for i, j in slices(texts):
                 h, offsets = word_hashes(texts.slice(i, j - i))
                 own = text_keys(h, offsets).view(np.int64)
                 for k, g in enumerate(_grams(h, offsets, n)):
                     if len(g):
-                        rank = np.argsort(counts[(g & np.uint64((1 << _CHUNK) - 1)).astype(np.int64)], kind="stable")
-                        g = g[rank[: len(g) - math.ceil(threshold * len(g) - 1e-9) + 1]]
+                        count = counts[(g & np.uint64((1 << _CHUNK) - 1)).astype(np.int64)]
+                        rank = np.argsort(count, kind="stable")
+                        end = rank[_prefix(len(g), threshold) - 1]
+                        last.append(int(count[end]) << 24 | int(g[end]) >> 40)
+                        g = g[rank[: _prefix(len(g), threshold)]]
                         grams.append(g)
                         which.append(np.full(len(g), len(keys), np.uint32))
                         keys.append(own[k])
@@ -112,16 +120,40 @@ def _postings(docs: DataFrame, n: int, threshold: float, blocks: int) -> DataFra
             if not keys:
                 continue
             g, w = np.concatenate(grams), np.concatenate(which)
-            keys, sizes = np.array(keys, np.int64), np.array(sizes, np.uint32)
+            keys, sizes, last = np.array(keys, np.int64), np.array(sizes, np.uint32), np.array(last, np.uint32)
             rows = []
             for p, x in POSTINGS.split(part_of(g, blocks), which=w, gram=(mix64(g) & np.uint64(0xFFFFFFFF)).astype(np.uint32)):
                 there, x["which"] = np.unique(x["which"], return_inverse=True)
-                rows.append((p, x | {"keys": keys[there], "sizes": sizes[there]}))
+                rows.append((p, x | {"keys": keys[there], "sizes": sizes[there], "last": last[there]}))
             yield POSTINGS.batch(rows)
 
     return docs.select("text").mapInArrow(emit, POSTINGS.schema)
 
 
+def _prefix(m: int, threshold: float) -> int:
+    """The n-grams of a document of m that enter the product."""
+    return m - math.ceil(threshold * m - 1e-9) + 1
+
+
+def _added(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs and the sums of their counts."""
+    if not pairs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    pair, at = np.unique(np.concatenate([p for p, _ in pairs]), return_inverse=True)
+    return pair, np.bincount(at, np.concatenate([v for _, v in pairs]), len(pair)).astype(np.int64)
+
+
+def _possible(votes: np.ndarray, m: np.ndarray, last: np.ndarray, row: np.ndarray, col: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs may reach the threshold, given how much their prefixes share.
+
+    ``last`` is where in the order of n-grams a prefix ends, as far as 32 bits tell; one more is allowed for
+    n-grams of a document that share 32 bits of hash, whose overlap counts once.
+    """
+    rest = np.ceil(threshold * m - 1e-9) - 1
+    behind = np.where(last[row] < last[col], rest[row], np.where(last[row] > last[col], rest[col], np.maximum(rest[row], rest[col])))
+    return (votes + 1 + behind) * (1 + threshold) >= threshold * (m[row] + m[col]) - 1e-9
+
+
 def _block_entries(postings: DataFrame, threshold: float, blocks: int) -> DataFrame:
     """The entries of the product that a column block gives, by row."""
 
@@ -130,6 +162,7 @@ def _block_entries(postings: DataFrame, threshold: float, blocks: int) -> DataFr
         own = np.concatenate([r["keys"] for r in rows])
         keys, first, local = np.unique(own, return_index=True, return_inverse=True)
         sizes = np.concatenate([r["sizes"] for r in rows])[first].astype(np.float64)
+        last = np.concatenate([r["last"] for r in rows])[first]
         begin = np.cumsum([0, *(len(r["keys"]) for r in rows)])
         doc = np.concatenate([local[b + r["which"].astype(np.int64)] for b, r in zip(begin, rows, strict=False)])
         cell = np.unique(np.concatenate([r["gram"] for r in rows]).astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64))
@@ -139,37 +172,41 @@ def _block_entries(postings: DataFrame, threshold: float, blocks: int) -> DataFr
         some = np.flatnonzero(before)
         total, pairs, i = np.cumsum(before[some]), [], 0
         while i < len(some):
-            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 22), side="right")))
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 20), side="right")))
             at = some[i:j]
             right = np.repeat(at, before[at])
             left = np.repeat(at - before[at], before[at]) + np.arange(len(right)) - np.repeat(np.cumsum(before[at]) - before[at], before[at])
             a, b = doc[left], doc[right]
             near = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
-            pairs.append(np.unique(b[near].astype(np.uint64) << np.uint64(32) | a[near].astype(np.uint64)))
+            pairs.append(np.unique(b[near].astype(np.uint64) << np.uint64(32) | a[near].astype(np.uint64), return_counts=True))
             if len(pairs) > 8:
-                pairs = [np.unique(np.concatenate(pairs))]
+                pairs = [_added(pairs)]
             i = j
-        pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+        pair, votes = _added(pairs)
         row, col = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         out = []
-        for p, x in ENTRIES.split(part_of(mix64(keys.view(np.uint64))[row], blocks), row=row, col=col):
+        for p, x in ENTRIES.split(part_of(mix64(keys.view(np.uint64))[row], blocks), row=row, col=col, votes=votes):
             there, at = np.unique(np.concatenate([x["row"], x["col"]]), return_inverse=True)
-            out.append((p, {"keys": keys[there], "row": at[: len(x["row"])], "col": at[len(x["row"]) :]}))
+            out.append((p, {"keys": keys[there], "sizes": sizes[there], "last": last[there], "votes": x["votes"], "row": at[: len(x["row"])], "col": at[len(x["row"]) :]}))
         return pa.Table.from_batches([ENTRIES.batch(out)])
 
     return postings.groupBy("part").applyInArrow(multiply, ENTRIES.schema)
 
 
-def _row_blocks(entries: DataFrame, rows_each: int) -> DataFrame:
+def _row_blocks(entries: DataFrame, threshold: float, rows_each: int) -> DataFrame:
     """``key, block, cols``: what each row block needs, and for the rows that it computes their columns."""
 
     def assign(table: pa.Table) -> pa.Table:
         rows = ENTRIES.rows(table)
-        keys, local = np.unique(np.concatenate([r["keys"] for r in rows]), return_inverse=True)
+        keys, first, local = np.unique(np.concatenate([r["keys"] for r in rows]), return_index=True, return_inverse=True)
+        sizes = np.concatenate([r["sizes"] for r in rows])[first].astype(np.float64)
+        last = np.concatenate([r["last"] for r in rows])[first]
         begin = np.cumsum([0, *(len(r["keys"]) for r in rows)])
         row, col = (np.concatenate([local[b + r[k].astype(np.int64)] for b, r in zip(begin, rows, strict=False)]) for k in ("row", "col"))
-        cell, votes = np.unique(row.astype(np.uint64) << np.uint64(32) | col.astype(np.uint64), return_counts=True)
+        cell, votes = _added([(row.astype(np.uint64) << np.uint64(32) | col.astype(np.uint64), np.concatenate([r["votes"] for r in rows]))])
         row, col = (cell >> np.uint64(32)).astype(np.int64), (cell & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        some = _possible(votes, sizes, last, row, col, threshold)
+        row, col, votes = row[some], col[some], votes[some]
         start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
         out_key, out_block, out_cols, needs = [], [], [], {}
         for a, b in zip(start, np.r_[start[1:], len(row)], strict=True):
@@ -195,7 +232,7 @@ def _row_blocks(entries: DataFrame, rows_each: int) -> DataFrame:
 
 def _multiply_rows(needed: DataFrame, n: int, threshold: float) -> DataFrame:
     def overlaps(table: pa.Table) -> pa.Table:
-        keys = np.unique(table.column("key").to_numpy())
+        keys, first = np.unique(table.column("key").to_numpy(), return_index=True)
         texts, own, grams = table.column("text").combine_chunks(), table.column("key").to_numpy(), {}
         for i, j in slices(texts):
             h, offsets = word_hashes(texts.slice(i, j - i))
@@ -208,7 +245,7 @@ def _multiply_rows(needed: DataFrame, n: int, threshold: float) -> DataFrame:
         column = np.unique(np.concatenate(grams), return_inverse=True)[1]
         begin = np.r_[0, np.cumsum(lengths)]
         marked = np.zeros(len(column) + 1, np.int64)
-        out: list[tuple] = []
+        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for key, cols in zip(table.column("key").to_pylist(), table.column("cols").to_pylist(), strict=True):
             if cols is None:
                 continue
@@ -221,21 +258,60 @@ def _multiply_rows(needed: DataFrame, n: int, threshold: float) -> DataFrame:
                 take = np.repeat(begin[x] - np.r_[0, np.cumsum(n_x)[:-1]], n_x) + np.arange(n_x.sum())
                 both = np.add.reduceat(marked[column[take]], np.r_[0, np.cumsum(n_x)[:-1]])
                 good = both * (1 + threshold) >= threshold * (n_x + lengths[y]) - 1e-9
-                out += [(int(keys[a]), key, int(o), int(m + lengths[y] - o)) for a, o, m in zip(x[good], both[good], n_x[good], strict=True)]
+                pairs.append((x[good], np.full(good.sum(), y), both[good], n_x[good] + lengths[y] - both[good]))
             marked[column[begin[y] : begin[y + 1]]] = 0
-        names = ("key_a", "key_b", "overlap", "either")
-        return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=list(names))
+        a, b, overlap, either = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 4
+        members = table.column("members").combine_chunks().take(pa.array(first))
+        return pa.table([members.take(pa.array(a)), members.take(pa.array(b)), pa.array(overlap, pa.int64()), pa.array(either, pa.int64())], names=["in_a", "in_b", "overlap", "either"])
+
+    return needed.groupBy("block").applyInArrow(overlaps, "in_a array<long>, in_b array<long>, overlap long, either long")
+
+
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of the identifiers: 8 MB whatever the input, so that a full sieve only lets more through."""
+    width = (1 << _SIEVE) // 8 // _PIECES
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << _SIEVE, bool)
+        for batch in batches:
+            bits[_place(batch.column(0))] = True
+        packed = np.packbits(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_PIECES), pa.int32()), pa.array([zlib.compress(packed[k * width : (k + 1) * width].tobytes(), 1) for k in range(_PIECES)], pa.binary())], ["piece", "bits"])
+
+    def both(table: pa.Table) -> pa.Table:
+        out = np.zeros(width, np.uint8)
+        for x in table.column("bits").to_pylist():
+            out |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+
+    found = {r.piece: np.frombuffer(zlib.decompress(r.bits), np.uint8) for r in ids.mapInArrow(mark, "piece int, bits binary").groupBy("piece").applyInArrow(both, "piece int, bits binary").collect()}
+    return np.concatenate([found.get(k, np.zeros(width, np.uint8)) for k in range(_PIECES)])
+
+
+def _place(ids: pa.Array) -> np.ndarray:
+    return (mix64(ids.to_numpy().view(np.uint64) * np.uint64(BASE)) >> np.uint64(64 - _SIEVE)).astype(np.int64)
+
+
+def _sifted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose identifiers may be among ``ids``: the rest isn't shuffled."""
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(ids))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sieve.value
+        for batch in batches:
+            at = _place(batch.column("doc_id"))
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
 
-    return needed.groupBy("block").applyInArrow(overlaps, "key_a long, key_b long, overlap long, either long")
+    return docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, text string")
 
 
 def class_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, rows_each: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Members of each distinct word sequence (``key, members``), and the pairs of keys that reach the threshold."""
-    docs, blocks = documents(docs), parts(docs.sparkSession)
+    """Members of each distinct word sequence (``key, members``), and the pairs of these that reach the threshold (``in_a, in_b, overlap, either``)."""
+    docs, blocks = documents(docs), -(-parts(docs.sparkSession) // COLUMN_BLOCK)
     classes = written(text_classes(docs).groupBy("key").agg(F.array_sort(F.collect_set("doc_id")).alias("members")), "classes")
     entries = _block_entries(_postings(docs, n, threshold, blocks), threshold, blocks)
-    needs = _row_blocks(entries, rows_each).join(classes, "key").select("key", "block", "cols", F.col("members")[0].alias("doc_id"))
-    needed = needs.join(docs, "doc_id").select("key", "block", "cols", "text")
+    needs = written(_row_blocks(entries, threshold, rows_each).join(classes, "key").select("key", "block", "cols", "members", F.col("members")[0].alias("doc_id")), "row-blocks")
+    needed = needs.join(_sifted(docs, needs.select("doc_id")), "doc_id").select("key", "block", "cols", "members", "text")
     return classes, written(_multiply_rows(needed, n, threshold), "class-pairs")
 
 
@@ -244,10 +320,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> D
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("0 < threshold <= 1 and n >= 1 are needed")
     classes, pairs = class_pairs(docs, n, threshold)
-    a = classes.select(F.col("key").alias("key_a"), F.col("members").alias("in_a"))
-    b = classes.select(F.col("key").alias("key_b"), F.col("members").alias("in_b"))
-    jaccard = F.round(F.col("overlap") / F.col("either"), 6).alias("jaccard")
-    across = pairs.join(a, "key_a").join(b, "key_b").select(F.explode("in_a").alias("x"), "in_b", jaccard).select("x", F.explode("in_b").alias("y"), "jaccard")
+    across = pairs.select(F.explode("in_a").alias("x"), "in_b", F.round(F.col("overlap") / F.col("either"), 6).alias("jaccard")).select("x", F.explode("in_b").alias("y"), "jaccard")
     within = classes.filter(F.size("members") > 1).select("members", F.posexplode("members").alias("at", "x")).select("x", F.explode(F.expr("slice(members, at + 2, size(members))")).alias("y"), F.lit(1.0).alias("jaccard"))
     return across.unionByName(within).filter("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
 
@@ -255,7 +328,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> D
 def near_groups(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     """``doc_id, group_id`` of the documents that have a near or exact copy; the group is named by its least identifier."""
     classes, pairs = class_pairs(docs, n, threshold)
-    edges = pairs.join(classes.select(F.col("key").alias("key_a"), F.col("members")[0].alias("a")), "key_a").join(classes.select(F.col("key").alias("key_b"), F.col("members")[0].alias("b")), "key_b").select("a", "b").filter("a <> b")
+    edges = pairs.select(F.col("in_a")[0].alias("a"), F.col("in_b")[0].alias("b")).filter("a <> b")
     labels = connected_components(edges)
     grouped = classes.select(F.col("members")[0].alias("node"), "members").join(labels, "node", "left").withColumn("group_id", F.coalesce("component", "node"))
     return grouped.filter((F.size("members") > 1) | F.col("component").isNotNull()).select(F.explode("members").alias("doc_id"), "group_id").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
