@@ -237,16 +237,17 @@ def fit(trees: Forest, steps: int = 120, rate: float = 0.1, penalty: float = 1e-
 def train(pages: DataFrame, train_pages: int = 400, seed: int = 0, steps: int = 120) -> Model:
     """A model of the labelled pages among ``pages`` (``page_id, html``); one task learns it from the sample."""
     labelled = pages.select(F.xxhash64(F.lit(seed), F.col("page_id").cast("long"), "html").alias("_place"), F.col("html").alias("_html")).filter(F.col("_html").rlike(r"(?i)<(article|main)[\s>]"))
-    sample = labelled.orderBy("_place").limit(train_pages)
+    # the sample is drawn from the hashes alone, so that pages that aren't in it are not moved; at most train_pages numbers are sent
+    sample = labelled.select("_place").orderBy("_place").limit(train_pages).distinct()
+    found = labelled.join(F.broadcast(sample), "_place").repartition(1)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sources = [x for b in batches for x in b.column("_html").to_pylist()]
+        sources = [x for _, x in sorted((p, x) for b in batches for p, x in zip(b.column("_place").to_pylist(), b.column("_html").to_pylist(), strict=True))]
         if sources:
             model = fit(forest([parse(x) for x in sources]), steps)
             yield pa.RecordBatch.from_arrays([pa.array([model.unary.tobytes()], pa.binary()), pa.array([model.edge.tobytes()], pa.binary())], ["unary", "edge"])
 
-    # limit leaves a single partition
-    for r in sample.coalesce(1).mapInArrow(learn, "unary binary, edge binary").collect():
+    for r in found.mapInArrow(learn, "unary binary, edge binary").collect():
         return Model(np.frombuffer(r["unary"]), np.frombuffer(r["edge"]).reshape(KINDS, 2, 2))
     return Model.empty()
 
