@@ -8,10 +8,14 @@ ASCII separates words.  Case is folded with Spark's ``lower`` before texts reach
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, made longer where the table has columns of that name."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def documents(docs: DataFrame, *cols: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Identifier, lower-cased text and the named columns; rows without identifier or text go."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"), *cols).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -151,13 +175,24 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
         width *= 2
 
 
+#: A key of 128 bits.
+KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
 def text_keys(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each text's word sequence."""
+    """A key of 128 bits of each text's word sequence, as ``KEY``."""
     n = np.diff(offsets)
-    place = np.arange(len(h)) - np.repeat(offsets[:-1], n)
-    terms = np.r_[np.uint64(0), mix64(h + place.astype(np.uint64) * np.uint64(BASE))]
-    sums = np.cumsum(terms)
-    return mix64(sums[offsets[1:]] - sums[offsets[:-1]] + n.astype(np.uint64))
+    place = (np.arange(len(h)) - np.repeat(offsets[:-1], n)).astype(np.uint64)
+    out = np.empty(len(n), KEY)
+    for name, odd in (("a", BASE), ("b", 0xD6E8FEB86659FD93)):
+        sums = np.cumsum(np.r_[np.uint64(0), mix64(h * np.uint64(odd) + place * np.uint64(BASE ^ odd >> 1))])
+        out[name] = mix64(sums[offsets[1:]] - sums[offsets[:-1]] + n.astype(np.uint64))
+    return out
+
+
+def key_bytes(keys: np.ndarray) -> pa.Array:
+    """Keys as a column of 16 bytes each."""
+    return pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys).tobytes())]).cast(pa.binary())
 
 
 def part_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -208,6 +243,62 @@ class Packed:
         return {k: np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, t) for k, t in self.types.items()}
 
 
+#: log2 of the bits that a sieve has: it grows with the identifiers up to 32 MB.
+SIEVE_BITS = (20, 28)
+_PIECES = 16
+
+
+class Sieve(NamedTuple):
+    """A bit for each hash of a set of identifiers: it may let others through, and never keeps one of the set back."""
+
+    bits: int
+    packed: Broadcast
+
+    def has(self, ids: pa.Array) -> np.ndarray:
+        at = _place(ids, self.bits)
+        found = (self.packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return found & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _place(ids: pa.Array, bits: int) -> np.ndarray:
+    return (mix64(ids.cast(pa.int64()).fill_null(0).to_numpy().view(np.uint64) * np.uint64(BASE)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def sieve(ids: DataFrame) -> Sieve:
+    """The sieve of the only column of ``ids``; at most 32 MB are sent, and beyond 2**25 identifiers it lets more through."""
+    n = ids.count()
+    bits = min(SIEVE_BITS[1], max(SIEVE_BITS[0], (8 * n).bit_length()))
+    width = (1 << bits) // 8 // _PIECES
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << bits, bool)
+        for batch in batches:
+            flags[_place(batch.column(0), bits)] = True
+        packed = np.packbits(flags)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_PIECES), pa.int32()), pa.array([zlib.compress(packed[k * width : (k + 1) * width].tobytes(), 1) for k in range(_PIECES)], pa.binary())], ["piece", "bits"])
+
+    def both(table: pa.Table) -> pa.Table:
+        out = np.zeros(width, np.uint8)
+        for x in table.column("bits").to_pylist():
+            out |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+
+    found = {r.piece: np.frombuffer(zlib.decompress(r.bits), np.uint8) for r in ids.mapInArrow(mark, "piece int, bits binary").groupBy("piece").applyInArrow(both, "piece int, bits binary").collect()}
+    whole = np.concatenate([found.get(k, np.zeros(width, np.uint8)) for k in range(_PIECES)])
+    return Sieve(bits, ids.sparkSession.sparkContext.broadcast(whole))
+
+
+def sifted(docs: DataFrame, through: Sieve, inside: bool = True) -> DataFrame:
+    """The rows, with all columns, whose ``doc_id`` may be in the sieve; or those whose ``doc_id`` surely isn't, nulls among them."""
+    at = docs.columns.index("doc_id")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(through.has(batch.column(at)) == inside))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def slices(texts: pa.Array, most: int = 4 << 20) -> list[tuple[int, int]]:
     """Row ranges of at most so many bytes of text, one row at least: bounds the memory of array kernels."""
     sizes = np.cumsum(np.diff(text_bytes(texts)[1]))

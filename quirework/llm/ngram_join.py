@@ -3,7 +3,8 @@
 Documents are the rows and word n-grams the columns of a 0/1 incidence matrix A; the join is A·Aᵀ without
 the entries that cannot reach the threshold.
 
-1. Each document's word sequence becomes a 64-bit key; documents with one key are one row of A.
+1. Each document's word sequence becomes a key of 128 bits; documents with one key are one row of A, which the
+   least of their identifiers represents.  The first half names the row, or the second where two rows share the first.
 2. A count sketch of all n-grams (fixed size, summed over all documents) orders columns from rare to common.
    The order decides only the work, never the result.
 3. Of a document with m n-grams, only the first ``m - ceil(t·m) + 1`` in that order enter the product: two
@@ -12,12 +13,19 @@ the entries that cannot reach the threshold.
    of the rest are counted.
 4. The counts of all column blocks are added.  What two documents share beyond these lies behind the prefix of
    the one whose prefix ends first, so that pairs whose count and that rest are below t/(1+t)·(m₁+m₂) go.
+   N-grams travel as the 32 bits after those that name their block; how many of a document's own collide is
+   counted and allowed for.
 5. Surviving entries are gathered into row blocks (by the partner with which a row shares most, so that a
    group of near copies is one block; large groups are cut into several), and the whole rows of A, sent
    once to each block that needs them, give exact overlaps.  An overlap below t/(1+t)·(m₁+m₂) is dropped.
+6. A row block gives links counted by document and a spanning forest of its links, not the links themselves, so
+   that what leaves it is linear in its documents.  Components of the forests are the classes.
 
 A document of fewer than n words has its whole word sequence as its only n-gram; one without words pairs
-with none.  Rows without identifier or text are left out, repeated rows of one identifier are one document.
+with none.  Rows without identifier or text are left out, repeated rows of one identifier are one document;
+an identifier that comes with several texts has the links of all and the least of their classes.  Ties, i.e.
+copies of one text, are represented by the least identifier.  Very long texts are taken whole.  Of other columns
+none is read, so that they may have any name.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,14 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import BASE, Packed, documents, mix64, part_of, parts, rolling, slices, text_keys, word_hashes, written
+from quirework.llm.common import BASE, KEY, Packed, discard, documents, key_bytes, mix64, part_of, parts, rolling, sieve, sifted, slices, text_keys, word_hashes, written
 
-POSTINGS = Packed(keys=np.int64, sizes=np.uint32, last=np.uint32, which=np.uint32, gram=np.uint32)
-ENTRIES = Packed(keys=np.int64, sizes=np.uint32, last=np.uint32, row=np.uint32, col=np.uint32, votes=np.uint32)
+POSTINGS = Packed(keys=np.uint64, sizes=np.uint32, last=np.uint32, slack=np.uint32, which=np.uint32, gram=np.uint32)
+ENTRIES = Packed(keys=np.uint64, sizes=np.uint32, last=np.uint32, slack=np.uint32, row=np.uint32, col=np.uint32, votes=np.uint32)
 _CHUNK = 22  # log2 of the counters that the sketch has
 #: Shuffle partitions for one column block: in a larger block more of what two documents share is one entry.
 COLUMN_BLOCK = 2
-_SIEVE = 26  # log2 of the bits that the sieve of identifiers has
+#: A key with at least this share of all documents is joined by broadcast: there can't be more of them than its inverse.
+HOT_SHARE = 1 / 1024
+#: The bits of an n-gram that travel, after those that name its column block.
+SHORT = 32
+#: So many rows may share the first half of their keys; of 10**11 rows, about 300 do.
+MOST_CLASHES = 100_000
 _PIECES = 16
 
 
@@ -90,28 +103,58 @@ def text_classes(docs: DataFrame) -> DataFrame:
             for i, j in slices(texts):
                 h, offsets = word_hashes(texts.slice(i, j - i))
                 some = pa.array(np.diff(offsets) > 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).filter(some), pa.array(text_keys(h, offsets).view(np.int64)).filter(some)], ["doc_id", "key"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).filter(some), key_bytes(text_keys(h, offsets)).filter(some)], ["doc_id", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(keys, "doc_id long, key long")
+    return docs.select("doc_id", "text").mapInArrow(keys, "doc_id long, key binary")
 
 
-def _postings(docs: DataFrame, n: int, threshold: float, blocks: int) -> DataFrame:
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n))
+def _with_classes(rows: DataFrame, classes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``rows`` with columns of ``classes``, which has a row for each key, and in ``n`` how many rows have it.
+
+    A key may have any share of the rows, so that those with ``HOT_SHARE`` of them or more, at most 1024 keys, are
+    broadcast, and only the rest is shuffled by key.
+    """
+    hot = F.col("n") >= max(2, math.ceil((classes.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
+    few = F.broadcast(classes.filter(hot).select(key, *columns))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(classes.filter(~hot).select(key, *columns), key))
+
+
+def _row_names(keys: np.ndarray, clashes: np.ndarray) -> np.ndarray:
+    """The name of the row of each key: its first half, unless that is among the sorted ``clashes``."""
+    return np.where(np.isin(keys["a"], clashes), keys["b"], keys["a"]) if len(clashes) else keys["a"].copy()
+
+
+def _clashes(classes: DataFrame) -> np.ndarray:
+    """The first halves that several keys share, sorted."""
+    half = classes.groupBy(F.substring("key", 1, 8).alias("half")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    found = half.select("half").limit(MOST_CLASHES + 1).collect()
+    if len(found) > MOST_CLASHES:
+        raise ValueError("too many rows share half of their keys")
+    return np.sort(np.array([np.frombuffer(r.half, "<u8")[0] for r in found], np.uint64))
+
+
+def _postings(docs: DataFrame, n: int, threshold: float, bits: int, clashes: np.ndarray) -> DataFrame:
+    """bits: log2 of the number of column blocks."""
+    sketch, short, part = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n)), np.uint64(64 - bits - SHORT), np.uint64(64 - bits)
+    mask = np.uint64((1 << SHORT) - 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in batches:
             texts = batch.column("text")
-            keys, sizes, last, which, grams = [], [], [], [], []
+            keys, sizes, last, slack, which, grams = [], [], [], [], [], []
             for i, j in slices(texts):
                 h, offsets = word_hashes(texts.slice(i, j - i))
-                own = text_keys(h, offsets).view(np.int64)
+                own = _row_names(text_keys(h, offsets), clashes)
                 for k, g in enumerate(_grams(h, offsets, n)):
                     if len(g):
                         count = counts[(g & np.uint64((1 << _CHUNK) - 1)).astype(np.int64)]
                         rank = np.argsort(count, kind="stable")
                         end = rank[_prefix(len(g), threshold) - 1]
                         last.append(int(count[end]) << 24 | int(g[end]) >> 40)
+                        # sorted, so that those that share block and bits are neighbours
+                        cut = g >> short
+                        slack.append(np.count_nonzero(cut[1:] == cut[:-1]))
                         g = g[rank[: _prefix(len(g), threshold)]]
                         grams.append(g)
                         which.append(np.full(len(g), len(keys), np.uint32))
@@ -120,11 +163,11 @@ def _postings(docs: DataFrame, n: int, threshold: float, blocks: int) -> DataFra
             if not keys:
                 continue
             g, w = np.concatenate(grams), np.concatenate(which)
-            keys, sizes, last = np.array(keys, np.int64), np.array(sizes, np.uint32), np.array(last, np.uint32)
+            keys, sizes, last, slack = np.array(keys, np.uint64), np.array(sizes, np.uint32), np.array(last, np.uint32), np.array(slack, np.uint32)
             rows = []
-            for p, x in POSTINGS.split(part_of(g, blocks), which=w, gram=(mix64(g) & np.uint64(0xFFFFFFFF)).astype(np.uint32)):
+            for p, x in POSTINGS.split((g >> part if bits else g * np.uint64(0)).astype(np.int32), which=w, gram=(g >> short & mask).astype(np.uint32)):
                 there, x["which"] = np.unique(x["which"], return_inverse=True)
-                rows.append((p, x | {"keys": keys[there], "sizes": sizes[there], "last": last[there]}))
+                rows.append((p, x | {"keys": keys[there], "sizes": sizes[there], "last": last[there], "slack": slack[there]}))
             yield POSTINGS.batch(rows)
 
     return docs.select("text").mapInArrow(emit, POSTINGS.schema)
@@ -143,15 +186,15 @@ def _added(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return pair, np.bincount(at, np.concatenate([v for _, v in pairs]), len(pair)).astype(np.int64)
 
 
-def _possible(votes: np.ndarray, m: np.ndarray, last: np.ndarray, row: np.ndarray, col: np.ndarray, threshold: float) -> np.ndarray:
+def _possible(votes: np.ndarray, m: np.ndarray, last: np.ndarray, slack: np.ndarray, row: np.ndarray, col: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs may reach the threshold, given how much their prefixes share.
 
-    ``last`` is where in the order of n-grams a prefix ends, as far as 32 bits tell; one more is allowed for
-    n-grams of a document that share 32 bits of hash, whose overlap counts once.
+    ``last`` is where in the order of n-grams a prefix ends, as far as 32 bits tell; ``slack`` is by how much the
+    n-grams of a prefix that share 32 bits of hash may lower a count.
     """
     rest = np.ceil(threshold * m - 1e-9) - 1
     behind = np.where(last[row] < last[col], rest[row], np.where(last[row] > last[col], rest[col], np.maximum(rest[row], rest[col])))
-    return (votes + 1 + behind) * (1 + threshold) >= threshold * (m[row] + m[col]) - 1e-9
+    return (votes + np.minimum(slack[row], slack[col]) + behind) * (1 + threshold) >= threshold * (m[row] + m[col]) - 1e-9
 
 
 def _block_entries(postings: DataFrame, threshold: float, blocks: int) -> DataFrame:
@@ -162,7 +205,7 @@ def _block_entries(postings: DataFrame, threshold: float, blocks: int) -> DataFr
         own = np.concatenate([r["keys"] for r in rows])
         keys, first, local = np.unique(own, return_index=True, return_inverse=True)
         sizes = np.concatenate([r["sizes"] for r in rows])[first].astype(np.float64)
-        last = np.concatenate([r["last"] for r in rows])[first]
+        last, slack = (np.concatenate([r[k] for r in rows])[first] for k in ("last", "slack"))
         begin = np.cumsum([0, *(len(r["keys"]) for r in rows)])
         doc = np.concatenate([local[b + r["which"].astype(np.int64)] for b, r in zip(begin, rows, strict=False)])
         cell = np.unique(np.concatenate([r["gram"] for r in rows]).astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64))
@@ -185,172 +228,209 @@ def _block_entries(postings: DataFrame, threshold: float, blocks: int) -> DataFr
         pair, votes = _added(pairs)
         row, col = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         out = []
-        for p, x in ENTRIES.split(part_of(mix64(keys.view(np.uint64))[row], blocks), row=row, col=col, votes=votes):
+        for p, x in ENTRIES.split(part_of(keys[row], blocks), row=row, col=col, votes=votes):
             there, at = np.unique(np.concatenate([x["row"], x["col"]]), return_inverse=True)
-            out.append((p, {"keys": keys[there], "sizes": sizes[there], "last": last[there], "votes": x["votes"], "row": at[: len(x["row"])], "col": at[len(x["row"]) :]}))
+            out.append((p, {"keys": keys[there], "sizes": sizes[there], "last": last[there], "slack": slack[there], "votes": x["votes"], "row": at[: len(x["row"])], "col": at[len(x["row"]) :]}))
         return pa.Table.from_batches([ENTRIES.batch(out)])
 
     return postings.groupBy("part").applyInArrow(multiply, ENTRIES.schema)
 
 
 def _row_blocks(entries: DataFrame, threshold: float, rows_each: int) -> DataFrame:
-    """``key, block, cols``: what each row block needs, and for the rows that it computes their columns."""
+    """``row, block, cols``: what each row block needs, and for the rows that it computes their columns."""
 
     def assign(table: pa.Table) -> pa.Table:
         rows = ENTRIES.rows(table)
         keys, first, local = np.unique(np.concatenate([r["keys"] for r in rows]), return_index=True, return_inverse=True)
         sizes = np.concatenate([r["sizes"] for r in rows])[first].astype(np.float64)
-        last = np.concatenate([r["last"] for r in rows])[first]
+        last, slack = (np.concatenate([r[k] for r in rows])[first].astype(np.int64) for k in ("last", "slack"))
         begin = np.cumsum([0, *(len(r["keys"]) for r in rows)])
         row, col = (np.concatenate([local[b + r[k].astype(np.int64)] for b, r in zip(begin, rows, strict=False)]) for k in ("row", "col"))
         cell, votes = _added([(row.astype(np.uint64) << np.uint64(32) | col.astype(np.uint64), np.concatenate([r["votes"] for r in rows]))])
         row, col = (cell >> np.uint64(32)).astype(np.int64), (cell & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        some = _possible(votes, sizes, last, row, col, threshold)
+        some = _possible(votes, sizes, last, slack, row, col, threshold)
         row, col, votes = row[some], col[some], votes[some]
         start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
         out_key, out_block, out_cols, needs = [], [], [], {}
         for a, b in zip(start, np.r_[start[1:], len(row)], strict=True):
-            own, cols, v = keys[row[a]], keys[col[a:b]], votes[a:b]
-            label = cols[v * 2 >= v.max()].min()
-            cuts = 1 << max(0, math.ceil(math.log2((b - a) / rows_each)))
-            seed = np.array([label, own], np.int64).view(np.uint64)
-            block = mix64(seed[:1] + np.uint64(cuts) * np.uint64(BASE) + mix64(seed[1:]) % np.uint64(cuts)).view(np.int64)[0]
-            out_key.append(own)
+            cols, v = col[a:b], votes[a:b]
+            label = keys[cols[v * 2 >= v.max()].min(keepdims=True)]
+            cuts = np.array([1 << max(0, math.ceil(math.log2((b - a) / rows_each)))], np.uint64)
+            block = int(mix64(label + cuts * np.uint64(BASE) + mix64(keys[row[a : a + 1]]) % cuts).view(np.int64)[0])
+            out_key.append(row[a])
             out_block.append(block)
-            out_cols.append(cols.tobytes())
+            out_cols.append(keys[cols].tobytes())
             needs.setdefault(block, []).append(cols)
         for block, several in needs.items():
-            for key in np.unique(np.concatenate(several)):
-                out_key.append(key)
-                out_block.append(block)
-                out_cols.append(None)
-        return pa.table({"key": pa.array(out_key, pa.int64()), "block": pa.array(out_block, pa.int64()), "cols": pa.array(out_cols, pa.binary())})
+            found = np.unique(np.concatenate(several))
+            out_key += found.tolist()
+            out_block += [block] * len(found)
+            out_cols += [None] * len(found)
+        return pa.table({"row": pa.array(keys[np.array(out_key, np.int64)].view(np.int64)), "block": pa.array(out_block, pa.int64()), "cols": pa.array(out_cols, pa.binary())})
+
+    assigned = entries.groupBy("part").applyInArrow(assign, "row long, block long, cols binary")
+    return assigned.groupBy("row", "block").agg(F.max("cols").alias("cols"))
+
+
+class _Forest:
+    """Components of the rows of a block, and the links that have joined them."""
+
+    def __init__(self, n: int) -> None:
+        self.label, self.edges = np.arange(n), []
+
+    def join(self, y: int, xs: np.ndarray) -> None:
+        found, first = np.unique(self.label[xs], return_index=True)
+        fresh = found != self.label[y]
+        if fresh.any():
+            self.edges += [(y, int(x)) for x in xs[first[fresh]]]
+            self.label[np.isin(self.label, found[fresh])] = self.label[y]
 
-    assigned = entries.groupBy("part").applyInArrow(assign, "key long, block long, cols binary")
-    return assigned.groupBy("key", "block").agg(F.max("cols").alias("cols"))
 
+def _multiply_rows(needed: DataFrame, n: int, threshold: float, clashes: np.ndarray, what: str) -> DataFrame:
+    """Exact overlaps, as ``a, b, overlap, either`` of representatives.
+
+    what: "pairs" are all that reach the threshold, a < b.  "links" are a row per document of a block (b is null, and
+    overlap counts the documents that it is linked to there) and the links of a spanning forest; "forest" is these alone,
+    so that two documents that are joined already aren't compared.
+    """
 
-def _multiply_rows(needed: DataFrame, n: int, threshold: float) -> DataFrame:
     def overlaps(table: pa.Table) -> pa.Table:
-        keys, first = np.unique(table.column("key").to_numpy(), return_index=True)
-        texts, own, grams = table.column("text").combine_chunks(), table.column("key").to_numpy(), {}
+        own = table.column("row").to_numpy().view(np.uint64)
+        keys, first = np.unique(own, return_index=True)
+        texts, grams = table.column("text").combine_chunks(), {}
         for i, j in slices(texts):
             h, offsets = word_hashes(texts.slice(i, j - i))
-            fits = text_keys(h, offsets).view(np.int64) == own[i:j]  # an identifier may come with several texts
+            fits = _row_names(text_keys(h, offsets), clashes) == own[i:j]  # an identifier may come with several texts
             for k, g in enumerate(_grams(h, offsets, n)):
                 if fits[k]:
                     grams[int(own[i + k])] = g
         grams = [grams.get(int(k), np.zeros(0, np.uint64)) for k in keys]
+        reps, copies = (table.column(c).to_numpy()[first] for c in ("doc_id", "n"))
         lengths = np.array([len(g) for g in grams])
         column = np.unique(np.concatenate(grams), return_inverse=True)[1]
         begin = np.r_[0, np.cumsum(lengths)]
         marked = np.zeros(len(column) + 1, np.int64)
+        forest, links = _Forest(len(keys)), np.zeros(len(keys), np.int64)
         pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for key, cols in zip(table.column("key").to_pylist(), table.column("cols").to_pylist(), strict=True):
+        for y, cols in enumerate(table.column("cols").take(pa.array(first)).to_pylist()):
             if cols is None:
                 continue
-            y = int(np.searchsorted(keys, key))
-            xs = np.searchsorted(keys, np.frombuffer(cols, np.int64))
+            xs = np.searchsorted(keys, np.frombuffer(cols, np.uint64))
             marked[column[begin[y] : begin[y + 1]]] = 1
-            for i in range(0, len(xs), 512):
-                x = xs[i : i + 512]
+            step = 1 if what == "forest" else 512
+            while len(xs):
+                if what == "forest":
+                    xs = xs[forest.label[xs] != forest.label[y]]
+                x, xs = xs[:step], xs[step:]
+                if not len(x):
+                    break
+                step = min(512, step * 8)
                 n_x = lengths[x]
                 take = np.repeat(begin[x] - np.r_[0, np.cumsum(n_x)[:-1]], n_x) + np.arange(n_x.sum())
-                both = np.add.reduceat(marked[column[take]], np.r_[0, np.cumsum(n_x)[:-1]])
+                both = np.bincount(np.repeat(np.arange(len(x)), n_x), marked[column[take]], len(x)).astype(np.int64)
                 good = both * (1 + threshold) >= threshold * (n_x + lengths[y]) - 1e-9
-                pairs.append((x[good], np.full(good.sum(), y), both[good], n_x[good] + lengths[y] - both[good]))
+                if what == "pairs":
+                    pairs.append((x[good], np.full(good.sum(), y), both[good], n_x[good] + lengths[y] - both[good]))
+                else:
+                    links[x[good]] += copies[y]
+                    links[y] += copies[x[good]].sum()
+                    forest.join(y, x[good])
             marked[column[begin[y] : begin[y + 1]]] = 0
+        if what != "pairs":
+            e = np.array(forest.edges, np.int64).reshape(-1, 2)
+            k = np.flatnonzero(links) if what == "links" else np.zeros(0, np.int64)
+            a, b = np.r_[reps[k], reps[e[:, 0]]], pa.array(np.r_[np.zeros(len(k), np.int64), reps[e[:, 1]]], mask=np.r_[np.ones(len(k), bool), np.zeros(len(e), bool)])
+            return pa.table([pa.array(a), b, pa.array(np.r_[links[k], np.zeros(len(e), np.int64)]), pa.nulls(len(a), pa.int64())], names=["a", "b", "overlap", "either"])
         a, b, overlap, either = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 4
-        members = table.column("members").combine_chunks().take(pa.array(first))
-        return pa.table([members.take(pa.array(a)), members.take(pa.array(b)), pa.array(overlap, pa.int64()), pa.array(either, pa.int64())], names=["in_a", "in_b", "overlap", "either"])
+        return pa.table([pa.array(np.minimum(reps[a], reps[b])), pa.array(np.maximum(reps[a], reps[b])), pa.array(overlap, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "overlap", "either"])
 
-    return needed.groupBy("block").applyInArrow(overlaps, "in_a array<long>, in_b array<long>, overlap long, either long")
+    return needed.groupBy("block").applyInArrow(overlaps, "a long, b long, overlap long, either long")
 
 
-def _sieve(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of the identifiers: 8 MB whatever the input, so that a full sieve only lets more through."""
-    width = (1 << _SIEVE) // 8 // _PIECES
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << _SIEVE, bool)
-        for batch in batches:
-            bits[_place(batch.column(0))] = True
-        packed = np.packbits(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_PIECES), pa.int32()), pa.array([zlib.compress(packed[k * width : (k + 1) * width].tobytes(), 1) for k in range(_PIECES)], pa.binary())], ["piece", "bits"])
-
-    def both(table: pa.Table) -> pa.Table:
-        out = np.zeros(width, np.uint8)
-        for x in table.column("bits").to_pylist():
-            out |= np.frombuffer(zlib.decompress(x), np.uint8)
-        return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
-
-    found = {r.piece: np.frombuffer(zlib.decompress(r.bits), np.uint8) for r in ids.mapInArrow(mark, "piece int, bits binary").groupBy("piece").applyInArrow(both, "piece int, bits binary").collect()}
-    return np.concatenate([found.get(k, np.zeros(width, np.uint8)) for k in range(_PIECES)])
+def _check(n: int, threshold: float) -> None:
+    if not 0 < threshold <= 1 or n < 1:
+        raise ValueError("0 < threshold <= 1 and n >= 1 are needed")
 
 
-def _place(ids: pa.Array) -> np.ndarray:
-    return (mix64(ids.to_numpy().view(np.uint64) * np.uint64(BASE)) >> np.uint64(64 - _SIEVE)).astype(np.int64)
+def _joined(docs: DataFrame, n: int, threshold: float, rows_each: int, what: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Membership (``doc_id, key``), distinct word sequences (``key, rep, n``), and what ``_multiply_rows`` gives."""
+    _check(n, threshold)
+    docs, spark = documents(docs), docs.sparkSession
+    bits = max(0, math.ceil(math.log2(parts(spark) / COLUMN_BLOCK)))
+    membership = written(text_classes(docs).distinct(), "membership")
+    classes = written(membership.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    clashes = _clashes(classes)
+    entries = _block_entries(_postings(docs, n, threshold, bits, clashes), threshold, 1 << bits)
+    rows = classes.select("rep", "n", F.substring("key", 1, 8).alias("a"), F.substring("key", 9, 8).alias("b")).mapInArrow(_named(clashes), "row long, doc_id long, n long")
+    needs = written(_row_blocks(entries, threshold, rows_each).join(rows, "row").select("row", "block", "cols", "n", "doc_id"), "row-blocks")
+    texts = sifted(docs.select("doc_id", "text"), sieve(needs.select("doc_id")))
+    needed = needs.join(texts, "doc_id").select("row", "block", "cols", "n", "doc_id", "text")
+    return membership, classes, written(_multiply_rows(needed, n, threshold, clashes, what), what)
 
 
-def _sifted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose identifiers may be among ``ids``: the rest isn't shuffled."""
-    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(ids))
+def _named(clashes: np.ndarray):  # noqa: ANN202
+    """Classes (``rep, n`` and both halves of the key) by the names of their rows."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sieve.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _place(batch.column("doc_id"))
-            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            keys = np.empty(batch.num_rows, KEY)
+            for k in "ab":
+                keys[k] = np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8")
+            yield pa.RecordBatch.from_arrays([pa.array(_row_names(keys, clashes).view(np.int64)), batch.column("rep"), batch.column("n")], ["row", "doc_id", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, text string")
+    return run
 
 
 def class_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, rows_each: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Members of each distinct word sequence (``key, members``), and the pairs of these that reach the threshold (``in_a, in_b, overlap, either``)."""
-    docs, blocks = documents(docs), -(-parts(docs.sparkSession) // COLUMN_BLOCK)
-    classes = written(text_classes(docs).groupBy("key").agg(F.array_sort(F.collect_set("doc_id")).alias("members")), "classes")
-    entries = _block_entries(_postings(docs, n, threshold, blocks), threshold, blocks)
-    needs = written(_row_blocks(entries, threshold, rows_each).join(classes, "key").select("key", "block", "cols", "members", F.col("members")[0].alias("doc_id")), "row-blocks")
-    needed = needs.join(_sifted(docs, needs.select("doc_id")), "doc_id").select("key", "block", "cols", "members", "text")
-    return classes, written(_multiply_rows(needed, n, threshold), "class-pairs")
+    """Membership of every document (``doc_id, rep``: the least identifier with its word sequence), and the pairs of representatives that reach the threshold (``a, b, overlap, either``)."""
+    membership, classes, pairs = _joined(docs, n, threshold, rows_each, "pairs")
+    return _with_classes(membership, classes, "key", ["rep"]).select("doc_id", "rep"), pairs
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
-    """``doc_a < doc_b, jaccard`` of every pair of documents whose n-gram sets reach the threshold."""
-    if not 0 < threshold <= 1 or n < 1:
-        raise ValueError("0 < threshold <= 1 and n >= 1 are needed")
-    classes, pairs = class_pairs(docs, n, threshold)
-    across = pairs.select(F.explode("in_a").alias("x"), "in_b", F.round(F.col("overlap") / F.col("either"), 6).alias("jaccard")).select("x", F.explode("in_b").alias("y"), "jaccard")
-    within = classes.filter(F.size("members") > 1).select("members", F.posexplode("members").alias("at", "x")).select("x", F.explode(F.expr("slice(members, at + 2, size(members))")).alias("y"), F.lit(1.0).alias("jaccard"))
-    return across.unionByName(within).filter("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, rows_each: int = 256) -> DataFrame:
+    """``doc_id, class_id, links`` of every document whose n-gram set reaches the threshold with another's.
+
+    ``links`` counts these others, copies of one text each; ``class_id`` is the least identifier that chains of links lead to.
+    """
+    membership, classes, found = _joined(docs, n, threshold, rows_each, "links")
+    labels = connected_components(found.filter("b IS NOT NULL AND a <> b").select("a", "b"))
+    counts = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("overlap").alias("others"))
+    linked = classes.join(counts, "rep", "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    rows = linked.select("key", "n", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links")).filter("links > 0")
+    return _with_classes(membership, written(rows, "linked"), "key", ["class_id", "links"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
 
 
 def near_groups(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     """``doc_id, group_id`` of the documents that have a near or exact copy; the group is named by its least identifier."""
-    classes, pairs = class_pairs(docs, n, threshold)
-    edges = pairs.select(F.col("in_a")[0].alias("a"), F.col("in_b")[0].alias("b")).filter("a <> b")
-    labels = connected_components(edges)
-    grouped = classes.select(F.col("members")[0].alias("node"), "members").join(labels, "node", "left").withColumn("group_id", F.coalesce("component", "node"))
-    return grouped.filter((F.size("members") > 1) | F.col("component").isNotNull()).select(F.explode("members").alias("doc_id"), "group_id").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    membership, classes, found = _joined(docs, n, threshold, 256, "forest")
+    labels = connected_components(found.filter("a <> b").select("a", "b"))
+    rows = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").filter("n > 1 OR component IS NOT NULL").select("key", "n", F.coalesce("component", "rep").alias("group_id"))
+    return _with_classes(membership, written(rows, "grouped"), "key", ["group_id"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (the least node) of an edge list ``a, b``: large-star and small-star rounds until nothing changes."""
+    """``node, component`` (the least node) of an edge list ``a, b``: large-star and small-star rounds until all are stars."""
     pairs = written(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u > v").distinct(), "edges")
     while True:
+        ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select("v", F.lit(0), F.lit(1)))
+        # a star has no node with two edges upwards, nor one with edges both ways
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = _with_classes(both, least, "u", ["m"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smaller = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smaller, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct()
-        after = written(small, "edges")
-        if after.exceptAll(pairs).isEmpty() and pairs.exceptAll(after).isEmpty():
-            labels = after.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-            return labels.union(after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        pairs = after
+        before, pairs = pairs, written(small, "edges")
+        discard(before)
+        discard(least)
 
 
 def drop_near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
-    """The documents, with one of each group of near copies: that with the least identifier."""
-    groups = near_groups(docs, n, threshold).filter("doc_id <> group_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(groups, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The documents, with one of each group of near copies: that with the least identifier. All columns stay."""
+    groups = near_groups(docs, n, threshold).filter("doc_id <> group_id").select(F.col("doc_id").alias("gone"))
+    gone = written(groups, "gone")
+    through = sieve(gone)
+    # rows that surely stay aren't shuffled; the alias keeps the name apart from the documents' own columns
+    some = sifted(docs, through).alias("d").join(gone.alias("g"), F.col("d.doc_id").cast("long") == F.col("g.gone"), "left_anti")
+    return sifted(docs, through, inside=False).unionByName(some)

@@ -4,9 +4,11 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
-from quirework.llm.ngram_join import connected_components, drop_near_copies, near_groups, ngram_jaccard_join
+from quirework.llm import ngram_join
+from quirework.llm.ngram_join import class_pairs, connected_components, drop_near_copies, near_groups, ngram_jaccard_join
 
 from .conftest import prose
 
@@ -38,13 +40,41 @@ def corpus(seed):
     return dict(enumerate(texts))
 
 
+def every_pair(df, n, t):
+    """The pairs of representatives, with all copies of both."""
+    membership, pairs = class_pairs(df, n, t)
+    members = {}
+    for r in membership.collect():
+        members.setdefault(r.rep, []).append(r.doc_id)
+    out = [(min(x, y), max(x, y), round(r.overlap / r.either, 6)) for r in pairs.collect() for x in members[r.a] for y in members[r.b]]
+    return out + [(x, y, 1.0) for m in members.values() for x, y in itertools.combinations(sorted(m), 2)]
+
+
+def links_and_classes(docs, pairs):
+    links, group = dict.fromkeys(docs, 0), {i: i for i in docs}
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            least = min(group[a], group[b])
+            changed |= group[a] != least or group[b] != least
+            group[a] = group[b] = least
+    return {i: (group[i], n) for i, n in links.items() if n}
+
+
 @pytest.mark.parametrize(("n", "t", "seed"), [(3, 0.5, 0), (1, 0.7, 1), (5, 0.25, 2), (2, 1.0, 3)])
 def test_finds_all_pairs(spark, n, t, seed):
     docs = corpus(seed)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(7)
-    got = ngram_jaccard_join(df, n, t).collect()
-    assert {(r.doc_a, r.doc_b): r.jaccard for r in got} == brute(docs, n, t)
-    assert len(got) == len({(r.doc_a, r.doc_b) for r in got})
+    want, got = brute(docs, n, t), every_pair(df, n, t)
+    assert {(a, b): j for a, b, j in got} == want
+    assert len(got) == len(want)
+    rows = ngram_jaccard_join(df, n, t).collect()
+    assert {r.doc_id: (r.class_id, r.links) for r in rows} == links_and_classes(docs, want)
+    assert len(rows) == len({r.doc_id for r in rows})
 
 
 def test_large_groups(spark):
@@ -52,18 +82,40 @@ def test_large_groups(spark):
     base = prose(rng, 100)
     docs = {i: edited(rng, base, 0.01) if i % 3 else base for i in range(700)}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(7)
-    assert {(r.doc_a, r.doc_b): r.jaccard for r in ngram_jaccard_join(df, 3, 0.5).collect()} == brute(docs, 3, 0.5)
+    want = brute(docs, 3, 0.5)
+    assert {(a, b): j for a, b, j in every_pair(df, 3, 0.5)} == want
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_jaccard_join(df, 3, 0.5, rows_each=64).collect()} == links_and_classes(docs, want)
     assert near_groups(df).select("group_id").distinct().count() == 1
 
 
 def test_one_of_each_group_stays(spark):
     docs = corpus(4)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    group = {i: i for i in docs}
-    for _ in docs:
-        for a, b in brute(docs, 3, 0.5):
-            group[a] = group[b] = min(group[a], group[b])
-    assert sorted(r.doc_id for r in drop_near_copies(df).collect()) == sorted(i for i in docs if group[i] == i)
+    group = {i: c for i, (c, _) in links_and_classes(docs, brute(docs, 3, 0.5)).items()}
+    assert sorted(r.doc_id for r in drop_near_copies(df).collect()) == sorted(i for i in docs if group.get(i, i) == i)
+
+
+def test_short_hashes_lose_no_pair(spark, monkeypatch):
+    """N-grams of a document whose bits collide lower counts; with 6 bits nearly all do."""
+    monkeypatch.setattr(ngram_join, "SHORT", 6)
+    docs = corpus(5)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    assert {(a, b): j for a, b, j in every_pair(df, 3, 0.5)} == brute(docs, 3, 0.5)
+
+
+def test_rows_that_share_half_a_key(spark, monkeypatch):
+    """As if the first halves of keys had one bit."""
+    real = ngram_join.text_keys
+
+    def halved(h, offsets):
+        out = real(h, offsets)
+        out["a"] &= np.uint64(1)
+        return out
+
+    monkeypatch.setattr(ngram_join, "text_keys", halved)
+    docs = {i: t for i, t in corpus(6).items() if i % 2}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    assert {(a, b): j for a, b, j in every_pair(df, 3, 0.5)} == brute(docs, 3, 0.5)
 
 
 def test_components_of_paths(spark):
@@ -76,8 +128,8 @@ def test_components_of_paths(spark):
 
 
 def test_awkward_rows(awkward, empty):
-    got = {(r.doc_a, r.doc_b) for r in ngram_jaccard_join(awkward).collect()}
-    assert got == {(1, 2), (1, 3), (2, 3), (9, 10)}
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_jaccard_join(awkward).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 9: (9, 1), 10: (9, 1)}
     kept = drop_near_copies(awkward)
     assert kept.columns == awkward.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 1, 4, 5, 6, 7, 8, 9]
