@@ -5,9 +5,10 @@ cut from SHA-256 of a counter and the paragraph; a document's fingerprint has th
 hexadecimal.  So it doesn't depend on the order of paragraphs, counts how often each occurs, and is kept up to
 date by adding or subtracting the numbers of a paragraph that comes or goes.  All of it is one projection.
 
-Null, empty and blank texts have no paragraphs and the fingerprint of zeros.  Rows are hashed one by one:
-other columns stay, repeated rows have equal fingerprints; columns named ``n_paragraphs`` and ``fingerprint``
-are replaced.
+Null, empty and blank texts have no paragraphs and the fingerprint of zeros.  Very long texts are hashed whole, as
+a fold over their paragraphs.  Rows are hashed one by one, so that no row depends on another: repeated rows and ties
+have equal fingerprints, empty tables give empty ones.  Other columns stay, whatever their names; those named
+``n_paragraphs`` and ``fingerprint`` are replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirework.llm.common import unused
+
 LANES = 32
 _PER_DIGEST = 8
 _MASK = (1 << 32) - 1
@@ -74,7 +77,8 @@ def fingerprints(docs: DataFrame, lanes: int = LANES, text_col: str = "text") ->
     """The documents with ``n_paragraphs`` and ``fingerprint``."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_paragraphs", "fingerprint")]
     both = F.transform(F.array(paragraphs(F.col(f"`{text_col}`"))), lambda ps: F.struct(F.size(ps).alias("n"), multiset_hash(ps, lanes).alias("h")))[0]
-    return docs.select(*kept, both.alias("_both")).select(*kept, F.col("_both.n").alias("n_paragraphs"), F.col("_both.h").alias("fingerprint"))
+    (name,) = unused(docs, "both")
+    return docs.select(*kept, both.alias(name)).select(*kept, F.col(f"{name}.n").alias("n_paragraphs"), F.col(f"{name}.h").alias("fingerprint"))
 
 
 def oracle(lanes: int = LANES) -> str:

@@ -6,8 +6,10 @@ mask by a bit, carries across words, and keeps the bits whose token the next byt
 before a ``*`` stay set whatever comes.  All URLs of a batch step together, shorter ones drop out.
 
 A URL is blocked if a ``block`` rule matches and no ``allow`` rule does.  Null URLs have a null canonical URL,
-match nothing and are not blocked; an empty one is matched by ``*`` alone.  Repeated rows fare alike, other
-columns stay; columns named ``canonical``, ``matched`` and ``blocked`` are replaced.
+match nothing and are not blocked; an empty one is matched by ``*`` alone.  Very long URLs are read to their end;
+the steps of a batch are those of its longest.  Rows are judged one by one: repeated rows and ties fare alike, empty
+tables give empty ones.  Other columns stay, whatever their names; ``canonical``, ``matched`` and ``blocked`` are
+replaced.
 """
 
 from __future__ import annotations
@@ -115,16 +117,23 @@ class Automaton:
         return out
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "url", at_once: int = 4096) -> DataFrame:
-    """The rows with ``canonical``, ``matched`` (names of the rules that match, in their order) and ``blocked``."""
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "url", at_once: int = 4096, most_bytes: int = 256 << 20) -> DataFrame:
+    """The rows with ``canonical``, ``matched`` (names of the rules that match, in their order) and ``blocked``.
+
+    The masks, 32 bytes for each byte of a rule, are broadcast; ``most_bytes`` bounds them.
+    """
     if any(r.action not in ("block", "allow") for r in rules):
         raise ValueError("a rule blocks or allows")
     machine = Automaton([r.glob for r in rules])
+    if machine.step.nbytes > most_bytes:
+        raise ValueError(f"the masks of the rules take {machine.step.nbytes} bytes; filter by several sets of rules, or raise most_bytes")
+    sent = pages.sparkSession.sparkContext.broadcast(machine)
     names, blocks = np.array([r.name for r in rules], object), np.array([r.action == "block" for r in rules], bool)
     kept = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in ("canonical", "matched", "blocked")), canonical(F.col(f"`{url_col}`")).alias("canonical"))
     schema = T.StructType([*kept.schema.fields, T.StructField("matched", T.ArrayType(T.StringType())), T.StructField("blocked", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = sent.value
         for whole in batches:
             for i in range(0, whole.num_rows, at_once):
                 batch = whole.slice(i, at_once)
