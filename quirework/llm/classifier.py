@@ -7,9 +7,12 @@ first ``STEMS`` bytes of each token, since inflected words that training never s
 quality and for toxicity, share them.  Training sees a sample of at most ``train_rows`` labelled documents,
 those with the least hash of seed and identifier; every document is scored, as a sparse dot product.
 
-Labels: rows with a null are left out, and of several for one document the worse counts.  Null, empty and
-blank texts have no features: their quality and toxicity are 0 and they are not kept.  Rows without identifier
-are scored like others; repeated rows get one score each.  Without labels every probability is a half.
+Labels: rows with a null are left out, and of several for one document the worse counts.  Of rows of one
+identifier training sees one, that whose text has the least hash, so that ``train_rows`` bounds its rows.  Null,
+empty and blank texts have no features: their quality and toxicity are 0 and they are not kept.  Very long texts
+have all their features.  Rows without identifier are scored like others; repeated rows and ties get one score
+each.  Without labels, or documents that have some, every probability is a half.  Other columns aren't read, so
+that they may have any name.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -112,12 +115,12 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, train_rows: int =
     Features of the sampled documents are computed where these are; one task then learns from them in the
     order of their hashes.  What comes to the driver are the weights that are not 0.
     """
-    place = F.xxhash64(F.lit(seed), F.col("_id"))
+    place = F.struct(F.xxhash64(F.lit(seed), F.col("_id")).alias("hash"), F.col("_id").alias("id"))
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_quality"), F.col("toxic").cast("int").alias("_toxic")).dropna()
-    sample = known.groupBy("_id").agg(F.min("_quality").alias("_quality"), F.max("_toxic").alias("_toxic")).withColumn("_place", place).orderBy("_place").limit(train_rows)
+    sample = known.groupBy("_id").agg(F.min("_quality").alias("_quality"), F.max("_toxic").alias("_toxic")).orderBy(place).limit(train_rows).withColumn("_place", place["hash"])
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-    # at most train_rows rows of four numbers: small whatever the input
-    found = texts.join(F.broadcast(sample), "_id").select("_place", "_quality", "_toxic", "_text")
+    # at most train_rows rows of four numbers: small whatever the input; of repeated rows the text with the least hash counts
+    found = texts.join(F.broadcast(sample), "_id").groupBy("_place", "_quality", "_toxic").agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

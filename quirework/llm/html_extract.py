@@ -8,14 +8,16 @@ gradient of the likelihood, which training follows with Adam steps.
 
 Labelled pages are those that mark their content up as ``article`` or ``main``; these two tags, and the
 attributes of such elements, are hidden from the features, so that the model carries over to pages without
-them.  Training sees at most ``train_pages`` of them, those with the least hash of seed and identifier.
+them.  Training sees at most ``train_pages`` of them, those with the least hash of seed, identifier and HTML.
 Extraction gives the text runs with a marginal of a half and more, in order, one line per block element.
 
 Broken markup is mended: paragraphs, list items and table cells end where the next begins, end tags without
 a start are dropped, unclosed comments, scripts and tags run to the end.  Scripts, styles and comments have
 no text.  Null and empty pages, and those without text, have no nodes, empty content and a confidence of 0.
 Without labelled pages no marginal is above a half by more than its tie, and all text is content.
-Repeated rows are extracted each; other columns stay, those with the names of results are replaced.
+Repeated rows are extracted each, and train as one page; a marginal of exactly a half (a tie) is content.  Very long
+pages are read whole.  Empty tables give empty ones.  Other columns stay, whatever their names; those with the names
+of results are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirework.llm.common import unused
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea svg iframe".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
@@ -71,6 +75,13 @@ def parse(source: str | None) -> Page:
     """The mended DOM of a page; a page without text or elements has no nodes."""
     parent, tag, names, text, inside = [-1], ["#root"], [0], [""], [False]
     stack, where, source = [0], 0, source or ""
+    opened: dict[str, int] = {}  # how many elements of each name are open: nothing is sought in vain
+
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            opened[tag[node]] -= 1
+        del stack[k:]
+
     while where < len(source):
         m = TOKEN.match(source, where)
         if m is None:
@@ -89,29 +100,27 @@ def parse(source: str | None) -> Page:
             continue
         name = name.lower()
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] == name:
-                    del stack[k:]
-                    break
+            if opened.get(name):
+                close(next(k for k in range(len(stack) - 1, 0, -1) if tag[stack[k]] == name))
             continue
         attributes = m.group(3)
         if name in RAW:
             if not attributes.endswith("/"):
-                close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, where)
-                where = close.end() if close else len(source)
+                end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, where)
+                where = end.end() if end else len(source)
             continue
-        if name in BLOCK:
+        if name in BLOCK and opened.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 if tag[stack[k]] == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if tag[stack[k]] in BLOCK:
                     break
         if name in CLOSES:
             ends, bounds = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(map(opened.get, ends)) else ():
                 if tag[stack[k]] in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag[stack[k]] in bounds:
                     break
@@ -123,6 +132,7 @@ def parse(source: str | None) -> Page:
         inside.append(inside[stack[-1]] or name in CONTENT)
         if name not in VOID and not attributes.endswith("/"):
             stack.append(len(parent) - 1)
+            opened[name] = opened.get(name, 0) + 1
     return Page(parent, tag, names, text, inside)
 
 
@@ -239,7 +249,8 @@ def train(pages: DataFrame, train_pages: int = 400, seed: int = 0, steps: int =
     labelled = pages.select(F.xxhash64(F.lit(seed), F.col("page_id").cast("long"), "html").alias("_place"), F.col("html").alias("_html")).filter(F.col("_html").rlike(r"(?i)<(article|main)[\s>]"))
     # the sample is drawn from the hashes alone, so that pages that aren't in it are not moved; at most train_pages numbers are sent
     sample = labelled.select("_place").orderBy("_place").limit(train_pages).distinct()
-    found = labelled.join(F.broadcast(sample), "_place").repartition(1)
+    # repeated rows are one page, so that train_pages bounds the rows of the one task as well
+    found = labelled.join(F.broadcast(sample), "_place").groupBy("_place").agg(F.min("_html").alias("_html")).repartition(1)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sources = [x for _, x in sorted((p, x) for b in batches for p, x in zip(b.column("_place").to_pylist(), b.column("_html").to_pylist(), strict=True))]
@@ -280,7 +291,7 @@ RESULTS = (("content", T.StringType()), ("n_text_nodes", T.LongType()), ("n_cont
 def extract(pages: DataFrame, model: Model, html_col: str = "html", at_once: int = 4 << 20) -> DataFrame:
     """The rows, without their HTML, with ``content, n_text_nodes, n_content_nodes, confidence``."""
     results = {name for name, _ in RESULTS}
-    kept = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in results and c != html_col), F.col(f"`{html_col}`").alias("_html"))
+    kept = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in results and c != html_col), F.col(f"`{html_col}`").alias(unused(pages, "html")[0]))
     schema = T.StructType([*kept.schema.fields[:-1], *(T.StructField(*r) for r in RESULTS)])
     sent = pages.sparkSession.sparkContext.broadcast(tuple(model))
 
