@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ CAPTION = r"^(?:figure|fig\.|table|algorithm|listing)"
 SPACE = r"[\s\p{Z}]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def split_words(text: Column) -> Column:
     """Whitespace-separated words; none of null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -35,10 +42,12 @@ def normalise_words(text: Column) -> Column:
 
 def bigrams(words: Column) -> Column:
     """The distinct pairs of neighbours, each joined by a space."""
-    n = F.size(words)
-    firsts = F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0)))
-    seconds = F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0)))
-    return F.array_distinct(F.zip_with(firsts, seconds, lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    return let(words, pairs)
 
 
 def signature(text: Column) -> Column:
@@ -47,7 +56,7 @@ def signature(text: Column) -> Column:
 
 
 def capitalise(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
+    return let(text, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 2**31 - 1)))
 
 
 def is_caption(text: Column) -> Column:
