@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions.geometry import upper_median
-
 LEAST_BOXES, GUTTER, FLANK, MOST_GUTTERS, SPINE = 200, 9, 24, 2, 12.0
 
 
@@ -26,34 +28,58 @@ def coverage(boxes: DataFrame) -> DataFrame:
     return change.withColumn("n", running).filter("_in = 1").select("doc_id", "page", "bin", "n")
 
 
+def profile_gutters(x0: np.ndarray, x1: np.ndarray, width: float) -> list[tuple[float, float]]:
+    """The gutters of one page's boxes: stretches that few boxes cover, between stretches of text.
+
+    A stretch is cut down to its emptiest part, if that is wide enough; text must stand close on both sides of it.
+    """
+    if len(x0) < LEAST_BOXES or not width > 0:
+        return []
+    bins = int(np.ceil(width))
+    lo = np.clip(np.floor(x0), 0, bins).astype(np.int64)
+    hi = np.maximum(np.clip(np.ceil(x1), 0, bins).astype(np.int64), lo)
+    n = np.cumsum(np.bincount(lo, minlength=bins + 1) - np.bincount(hi, minlength=bins + 1))[:bins]
+    peak = int(n.max())
+    dense = np.flatnonzero(n > int(np.floor(np.float32(peak) * np.float32(0.25))))
+    if not peak or not len(dense):
+        return []
+    covered = np.sort(n[dense])
+    half = int(np.floor(covered[len(covered) // 2] * 0.5))
+    out = []
+    for g0, g1 in zip(dense[:-1] + 1, dense[1:], strict=True):
+        if g1 <= g0:
+            continue
+        deep = np.flatnonzero(n[g0:g1] <= n[g0:g1].min() + int(np.floor(peak * 0.02 + 0.5)))
+        runs = np.split(deep, np.flatnonzero(np.diff(deep) > 1) + 1)
+        core = max(runs, key=len)
+        if len(core) >= GUTTER:
+            g0, g1 = g0 + core[0], g0 + core[-1] + 1
+        if g1 - g0 < GUTTER:
+            continue
+        flank = min(n[max(g0 - FLANK, 0) : g0].max(initial=0), n[g1 : g1 + FLANK].max(initial=0))
+        if flank >= half and n[g0:g1].min() * 2 <= flank:
+            out.append((float(g0), float(g1)))
+    return out if len(out) <= MOST_GUTTERS else []
+
+
 def gutters(boxes: DataFrame) -> DataFrame:
-    """``doc_id, page, g0, g1``: stretches that few boxes cover, between stretches of text.
+    """``doc_id, page, g0, g1`` of boxes ``doc_id, page, x0, x1, page_width``.
 
-    Pages of fewer than 200 boxes have none, nor have those with more than two.
+    Pages of fewer than 200 boxes have none, nor have those with more than two.  Boxes meet their page in one shuffle,
+    as two arrays; pages of too few boxes never reach Python.
     """
-    page = ["doc_id", "page"]
-    enough = boxes.groupBy(*page).count().filter(F.col("count") >= LEAST_BOXES).select(*page)
-    w = Window.partitionBy(*page)
-    cover = coverage(boxes.join(enough, page, "left_semi")).withColumn("peak", F.max("n").over(w)).withColumn("thr", F.floor(F.col("peak") * F.lit(0.25)))
-    dense = F.when(F.col("n") > F.col("thr"), F.col("bin"))
-    inner = cover.withColumn("lo", F.min(dense).over(w)).withColumn("hi", F.max(dense).over(w)).filter("bin BETWEEN lo AND hi")
-    typical = inner.filter("n > thr").groupBy(*page).agg(upper_median(F.col("n")).alias("typical"))
-    island = F.col("bin") - F.row_number().over(Window.partitionBy(*page).orderBy("bin"))
-    runs = inner.filter("n <= thr").withColumn("run", island).withColumn("floor", F.min("n").over(Window.partitionBy(*page, "run")))
-    core = runs.withColumn("deep", F.col("n") <= F.col("floor") + F.floor(F.col("peak") * F.lit(0.02) + 0.5)).filter("deep")
-    deep = core.withColumn("part", F.col("bin") - F.row_number().over(Window.partitionBy(*page, "run").orderBy("bin"))).groupBy(*page, "run", "part").agg(F.min("bin").alias("c0"), (F.max("bin") + 1).alias("c1"))
-    best = deep.groupBy(*page, "run").agg(F.max(F.struct((F.col("c1") - F.col("c0")).alias("len"), (-F.col("c0")).alias("c0"))).alias("b"))
-    whole = runs.groupBy(*page, "run").agg(F.min("bin").alias("s"), (F.max("bin") + 1).alias("e"))
-    fits = F.col("b.len") >= GUTTER
-    found = whole.join(best, [*page, "run"]).select(*page, F.when(fits, -F.col("b.c0")).otherwise(F.col("s")).alias("g0"), F.when(fits, F.col("b.len") - F.col("b.c0")).otherwise(F.col("e")).alias("g1")).filter(F.col("g1") - F.col("g0") >= GUTTER)
-    profile = cover.groupBy(*page).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda s: s["n"]).alias("profile"))
-    sides = found.join(profile, page).join(typical, page)
-    left = F.coalesce(F.array_max(F.slice("profile", F.greatest(F.col("g0") - FLANK, F.lit(0)) + 1, F.least(F.col("g0"), F.lit(FLANK)))), F.lit(0))
-    right = F.coalesce(F.array_max(F.slice("profile", F.col("g1") + 1, F.lit(FLANK))), F.lit(0))
-    low = F.array_min(F.slice("profile", F.col("g0") + 1, F.col("g1") - F.col("g0")))
-    flank = F.least(left, right)
-    flanked = sides.filter((flank >= F.floor(F.col("typical") * F.lit(0.5))) & (low * 2 <= flank))
-    return flanked.withColumn("_k", F.count(F.lit(1)).over(w)).filter(F.col("_k") <= MOST_GUTTERS).select(*page, F.col("g0").cast("float").alias("g0"), F.col("g1").cast("float").alias("g1"))
+    pages = boxes.groupBy("doc_id", "page").agg(F.max("page_width").alias("width"), F.collect_list(F.struct(F.col("x0").cast("float"), F.col("x1").cast("float"))).alias("b")).filter(F.size("b") >= LEAST_BOXES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("b").offsets.to_numpy()
+            x0, x1 = (batch.column("b").values.field(k).to_numpy() for k in (0, 1))
+            rows = [(i, *g) for i, w in enumerate(batch.column("width").to_pylist()) for g in profile_gutters(x0[at[i] : at[i + 1]], x1[at[i] : at[i + 1]], w)]
+            which = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(which), batch.column("page").take(which), pa.array([r[1] for r in rows], pa.float32()), pa.array([r[2] for r in rows], pa.float32())], ["doc_id", "page", "g0", "g1"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
+    return pages.mapInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, g0 float, g1 float")
 
 
 def spine(found: DataFrame) -> DataFrame:

@@ -218,10 +218,12 @@ def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.assemble(lines, T.measure(lines)).select("doc_id", "ord", "type", F.coalesce("level", F.lit(0)).alias("level"), "text", "page", "start")
 
 
-_PLAIN = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(b, '<br\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'), ' ')"
-_HTML = f"""h AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '{A.ELEMENT}', 1)) AS tag, unnest(regexp_extract_all(html, '{A.ELEMENT}', 2)) AS b, unnest(range(len(regexp_extract_all(html, '{A.ELEMENT}', 1)))) AS ord FROM pages),
-  t AS (SELECT doc_id, ord::INT AS ord, tag, {_PLAIN} AS text FROM h), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag = 'h1' ORDER BY ord) AS k FROM t WHERE text <> ''),
-  blocks AS (SELECT doc_id, ord, CASE WHEN tag = 'h1' AND k = 1 THEN 'title' WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'li' THEN 'list_item' ELSE 'paragraph' END AS type, CASE WHEN tag LIKE 'h%' AND NOT (tag = 'h1' AND k = 1) THEN substr(tag, 2, 1)::INT ELSE 0 END AS level, text FROM f)"""
+_PLAIN = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(b, '(?i)<br\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'), ' ')"
+_HTML = rf"""v AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(regexp_replace(html, '{A.HIDDEN}', '', 'g'), '(?i)<table\b', chr(29) || '<table', 'g'), '(?i)</table\s*>', '</table>' || chr(29), 'g') AS h FROM pages),
+  p AS (SELECT doc_id, flatten(list_transform(string_split(h, chr(29)), lambda p: CASE WHEN starts_with(p, '<table') THEN ['table' || chr(31) || p] ELSE string_split(regexp_replace(p, '{A.BLOCK}', chr(30) || '\1' || chr(31), 'g'), chr(30)) END)) AS xs FROM v),
+  x AS (SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS ord FROM p), h AS (SELECT doc_id, ord, CASE WHEN contains(x, chr(31)) THEN lower(string_split(x, chr(31))[1]) ELSE '' END AS tag, string_split(x, chr(31))[-1] AS b FROM x),
+  t AS (SELECT doc_id, ord::INT AS ord, tag, {_PLAIN} AS text FROM h WHERE tag <> 'table'), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag = 'h1' ORDER BY ord) AS k FROM t WHERE text <> ''),
+  blocks AS (SELECT doc_id, ord, CASE WHEN tag = 'h1' AND k = 1 THEN 'title' WHEN regexp_full_match(tag, 'h[1-6]') THEN 'heading' WHEN tag = 'li' THEN 'list_item' ELSE 'paragraph' END AS type, CASE WHEN regexp_full_match(tag, 'h[1-6]') AND NOT (tag = 'h1' AND k = 1) THEN substr(tag, 2, 1)::INT ELSE 0 END AS level, text FROM f)"""
 
 
 @query(f"WITH {_HTML} SELECT * FROM blocks")
@@ -229,6 +231,17 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.html_blocks(_table(spark, sf_dir, "pages")).select("doc_id", "ord", "type", F.coalesce("level", F.lit(0)).alias("level"), "text")
 
 
+@query("""SELECT * FROM (VALUES (1, 'paragraph', 0, 'before', ''), (1, 'title', 0, 'One & two', ''), (1, 'heading', 2, 'A part', ''), (1, 'paragraph', 0, 'loose text', ''), (1, 'list_item', 0, 'first bold', ''), (1, 'list_item', 0, 'second', ''), (1, 'paragraph', 0, 'a quotation', ''), (1, 'paragraph', 0, 'x = 1', ''), (1, 'table', 0, '', 'k,v;a,1;b,'), (1, 'paragraph', 0, 'after', ''), (1, 'heading', 1, 'Not the title', ''), (2, 'paragraph', 0, 'only text', '')) v(doc_id, type, level, text, cells)""")
+def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of all kinds, in any case, with what they must give."""
+    source = """<!DOCTYPE html><HEAD><title>no</title></HEAD><BODY onload="x"><!-- <p>no</p> --><script>var t="<p>no</p>";</script><DIV>before<H1 class=a>One &amp; two</H1></DIV><h2>A part</h2>loose text<UL><LI>first <b>bold</b><li>second</UL>
+    <BLOCKQUOTE>a  quotation</BLOCKQUOTE><pre>x = 1</pre><Table><TR><TH>k<TH>v</TR><tr><td>a</td><TD>1</TD></tr><tr><td>b<td></tr></TABLE>after<style>p{}</style><h1>Not the title</h1><h3> </h3></BODY>"""
+    pages = spark.createDataFrame([(1, source), (2, "only text"), (3, ""), (4, None)], "page_id long, html string")
+    out = A.html_blocks(pages)
+    cells = F.coalesce(F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";"), F.lit(""))
+    return out.select("doc_id", "type", F.coalesce("level", F.lit(0)).alias("level"), "text", cells.alias("cells"))
+
+
 _ESC = r"regexp_replace(text, '^\s*([#>+=|-])', '\\\1')"
 _STRIP = r"CASE WHEN regexp_matches(text, '^[•◦‣▪·∗*–—-]') THEN regexp_replace(text, '^[•◦‣▪·∗*–—-]\s*', '') WHEN regexp_matches(text, '^\S*\s') AND strlen(regexp_extract(text, '^(\S*)\s', 1)) <= 6 THEN regexp_replace(text, '^\S*\s+', '') ELSE text END"
 

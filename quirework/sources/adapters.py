@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Geometry of the typeset view: lines on a page, points a line, a character, and of the margins.
 PER_PAGE, LEADING, PER_CHAR, LEFT, TOP, HEIGHT = 40, 12.0, 5.0, 72.0, 60.0, 600.0
-ELEMENT = r"<(h[1-6]|p|li)\b[^>]*>((?:[^<]+|</?(?:b|a|i|em|strong|span|br|code|sup|sub)\b[^>]*>)*)"
+#: What is never shown, with its content; the elements that begin a new block, and the marks that take their place.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}\b.*?(?:</{t}[^>]*>|\z)" for t in ("head", "script", "style", "noscript", "template", "textarea", "svg", "iframe")) + r"|<[!?][^>]*>"
+BLOCKS = "h[1-6]|p|li|div|td|th|tr|ul|ol|dl|dt|dd|pre|blockquote|article|section|main|nav|aside|header|footer|figure|figcaption|caption|form|fieldset|address|details|summary|body|html|table|thead|tbody|tfoot|hr"
+BLOCK = rf"(?i)<(/?(?:{BLOCKS}))(?:[\s/][^>]*)?>"
+TABLE, TAG, TEXT = "\x1d", "\x1e", "\x1f"
 
 
 def typeset(docs: DataFrame) -> DataFrame:
@@ -24,23 +28,40 @@ def typeset(docs: DataFrame) -> DataFrame:
 
 
 def _plain(markup: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(markup, r"<br\b[^>]*>", " "), r"<[^>]*>", "")
+    text = F.regexp_replace(F.regexp_replace(markup, r"(?i)<br\b[^>]*>", " "), r"<[^>]*>", "")
     for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
         text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def _cells(table: Column) -> Column:
+    """The rows of a table's markup as arrays of cells; rows without cells go."""
+    rows = F.split(table, r"(?i)<tr\b[^>]*>")
+    each = F.transform(rows, lambda r: F.transform(F.slice(F.split(r, r"(?i)<t[dh]\b[^>]*>"), F.lit(2), F.lit(1 << 20)), _plain))
+    return F.filter(each, lambda r: F.size(r) > 0)
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """Headings, paragraphs and list items of pages: ``doc_id, ord, type, level, ordered, text, page, size``.
+    """All visible text of pages as blocks: ``doc_id, ord, type, level, ordered, text, rows, header_rows, page, size``.
 
-    The first heading of a page is its title.  Null pages have no blocks.
+    A block ends where a block element begins or ends, in whatever case its name is; it is a heading or a list item
+    if that is what has begun, and else a paragraph.  A table is one block, with its cells.  The first heading of
+    level 1 is the title.  Null pages have no blocks.
     """
-    whole = pages.select(F.col("page_id").alias("doc_id"), F.regexp_extract_all("html", F.lit(ELEMENT), 1).alias("tags"), F.regexp_extract_all("html", F.lit(ELEMENT), 2).alias("bodies"))
-    each = whole.select("doc_id", F.posexplode(F.arrays_zip("tags", "bodies")).alias("ord", "e")).select("doc_id", "ord", F.col("e.tags").alias("tag"), _plain(F.col("e.bodies")).alias("text")).filter("text <> ''")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.col("tag") == "h1").orderBy("ord")) == 1
-    kind = F.when((F.col("tag") == "h1") & first, "title").when(F.col("tag").startswith("h"), "heading").when(F.col("tag") == "li", "list_item").otherwise("paragraph")
-    level = F.when(kind == "heading", F.substring("tag", 2, 1).cast("int"))
-    return each.select("doc_id", "ord", kind.alias("type"), level.alias("level"), F.when(kind == "list_item", F.lit(False)).alias("ordered"), "text", F.lit(0).alias("page"), F.lit(10.0).cast("float").alias("size"))
+    shown = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", HIDDEN, ""), r"(?i)<table\b", f"{TABLE}<table"), r"(?i)</table\s*>", f"</table>{TABLE}")
+    pieces = F.transform(F.split(shown, TABLE), lambda p: F.when(p.startswith("<table"), F.array(F.concat(F.lit(f"table{TEXT}"), p))).otherwise(F.split(F.regexp_replace(p, BLOCK, f"{TAG}$1{TEXT}"), TAG)))
+
+    def block(x: Column) -> Column:
+        tag = F.when(x.contains(TEXT), F.lower(F.substring_index(x, TEXT, 1))).otherwise("")
+        return F.struct(tag.alias("tag"), F.when(tag == "table", "").otherwise(_plain(F.substring_index(x, TEXT, -1))).alias("text"), F.when(tag == "table", _cells(x)).alias("rows"), F.when(tag == "table", x.rlike(r"(?is)^[^\x1f]*\x1f<table[^>]*>\s*(?:<thead[^>]*>\s*)?<tr[^>]*>\s*<th\b").cast("int")).alias("header_rows"))
+
+    each = pages.select(F.col("page_id").alias("doc_id"), F.transform(F.flatten(pieces), block).alias("b"))
+    title = F.array_position(F.transform("b", lambda x: (x["tag"] == "h1") & (x["text"] != "")), F.lit(True)) - 1
+    rows = each.select("doc_id", title.cast("int").alias("title"), F.posexplode("b").alias("ord", "e")).filter("e.text <> '' OR size(e.rows) > 0")
+    tag = F.col("e.tag")
+    kind = F.when(F.col("ord") == F.col("title"), "title").when(tag.rlike("^h[1-6]$"), "heading").when(tag == "li", "list_item").when(tag == "table", "table").otherwise("paragraph")
+    level = F.when(kind == "heading", F.substring(tag, 2, 1).cast("int"))
+    return rows.select("doc_id", "ord", kind.alias("type"), level.alias("level"), F.when(kind == "list_item", F.lit(False)).alias("ordered"), F.col("e.text").alias("text"), F.col("e.rows").alias("rows"), F.col("e.header_rows").alias("header_rows"), F.lit(0).alias("page"), F.lit(10.0).cast("float").alias("size"))
 
 
 def conversation_blocks(turns: DataFrame) -> DataFrame:
