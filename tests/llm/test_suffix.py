@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from quirework.llm import suffix
 from quirework.llm.suffix import cut_passages, refine, repeated_passages
 
 from .conftest import prose
@@ -49,14 +50,42 @@ def test_finds_what_a_table_of_all_windows_finds(spark, n, q, seed):
     assert found(repeated_passages(df, min_words=n, q=q), n) == brute(docs, n)
 
 
-def test_refinement_is_a_sort_by_all_pointers():
-    rng = np.random.default_rng(0)
-    bucket, pointers = rng.integers(0, 5, 500).astype(np.uint64), [rng.integers(0, 3, 500) for _ in range(3)]
-    order, number = refine(bucket, pointers, np.zeros(500, bool))
-    rows = list(zip(bucket, *pointers, strict=True))
-    several = {r for r in rows if rows.count(r) > 1}
-    assert [rows[i] for i in order] == sorted(r for r in rows if r in several)
-    assert len(set(number)) == len(several)
+@pytest.mark.parametrize(("depth", "q"), [(1, 1), (5, 2), (50, 17), (6, 6)])
+def test_refinement_sorts_suffixes(depth, q):
+    rng = np.random.default_rng(depth)
+    texts = [np.r_[rng.integers(0, 2, 90), rng.integers(0, 3, rng.integers(1, 40))] for _ in range(6)]
+    texts.append(texts[2].copy())
+    words = np.concatenate(texts)
+    left = np.concatenate([np.arange(len(t), 0, -1) for t in texts])
+    at, bucket = refine(words, left, depth, q)
+    have = {i: tuple(words[i : i + depth]) for i in range(len(words)) if left[i] >= depth}
+    several = [w for w in have.values() if list(have.values()).count(w) > 1]
+    assert sorted(at) == [i for i, w in have.items() if w in several]
+    assert [have[i] for i in at] == sorted(have[i] for i in at)
+    assert len(set(bucket)) == len(set(several)) and all((bucket[i] == bucket[i + 1]) == (have[at[i]] == have[at[i + 1]]) for i in range(len(at) - 1))
+
+
+def test_hot_anchors_and_several_goes(spark, monkeypatch):
+    """A passage that most documents have, with other words around it, sorted in many small goes."""
+    monkeypatch.setattr(suffix, "HOT_LEAST", 8)
+    monkeypatch.setattr(suffix, "HOT_SHARE", 0.02)
+    monkeypatch.setattr(suffix, "AT_ONCE", 2000)
+    rng = random.Random(6)
+    passage = prose(rng, 33)
+    docs = {i: f"{prose(rng, 20)} {passage} {prose(rng, 3)} {prose(rng, 20)}" if i % 3 else prose(rng, 30) for i in range(60)} | {70: passage, 71: passage + " " + passage}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    anchors = suffix._anchors(df, 12, 5, 4)
+    assert len(suffix._hot_anchors(anchors))
+    assert found(repeated_passages(df, min_words=12, q=5), 12) == brute(docs, 12)
+
+
+def test_rows_of_one_document_are_no_repeats(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 70), prose(rng, 70)
+    rows = [(1, a), (1, a), (1, a), (2, b), (3, b), (3, b), (2, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts_ in (1, 3, 7):
+        assert {(r.doc_id, r.start_word, r.end_word, r["first"]) for r in repeated_passages(df.repartition(parts_), min_words=50).collect()} == {(2, 0, 70, True), (3, 0, 70, False)}
 
 
 def test_cutting_leaves_the_first_and_all_else(spark):
