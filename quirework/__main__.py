@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quirework import reach
 from quirework.operators.page import build_lines
-from quirework.plans.convert import blocks_of_glyphs, convert, write
+from quirework.plans.convert import blocks_of_primitives, convert, write
 from quirework.sources import adapters
 from quirework.sources import primitives as P
 
@@ -40,7 +40,7 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     one = F.lit(True) if args.page is None else F.col("page") == args.page
     if args.command == "convert":
         readable = documents.join(P.scanned(documents).filter("NOT scanned").select("doc_id"), "doc_id", "left_semi")
-        return convert(blocks_of_glyphs(P.glyphs(readable), P.pages(readable).select("doc_id", "page", "height")), args.format, args.caveman)
+        return convert(blocks_of_primitives(readable), args.format, args.caveman)
     if args.command == "text":
         return build_lines(glyphs.filter(one)).drop("words").orderBy("doc_id", "page", "ord")
     if args.command == "probe":

@@ -7,6 +7,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quirework.functions import refs as R
 from quirework.functions.text import is_bibliography_heading
@@ -14,7 +15,6 @@ from quirework.functions.text import is_bibliography_heading
 _NAMES = "(?i:references|bibliography|works cited|literature cited)"
 OPENS = rf"(?s)^({_NAMES}\s*)(?=[\p{{Lu}}\[])"
 CLOSES = rf"(?s)^(.*[.!?:])\s+{_NAMES}[.:]?\s*$"
-COLUMNS = ("doc_id", "ord", "type", "level", "ordered", "text", "page", "size")
 
 
 def _starts(blocks: DataFrame) -> DataFrame:
@@ -47,12 +47,13 @@ def _entries(rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
 
 
 def extract_bibliography(blocks: DataFrame) -> DataFrame:
-    """The blocks (``doc_id, ord, type, level, ordered, text, page, size``) with references, and their ``label``.
+    """The blocks (``doc_id, ord, type, level, ordered, text, page, size``, and others) with references, and their ``label``.
 
     From the heading to the next one, paragraphs are joined and split into entries, which come before what
     else is there.  Citations of known labels become links in paragraphs, list items and captions.
     """
-    own = blocks.select(*COLUMNS)
+    columns = [c for c in blocks.columns if c != "label"]
+    own = blocks.select(*columns)
     marked = own.join(_starts(own), "doc_id", "left").withColumn("first", F.when(F.col("how") == "opens", F.col("at")).otherwise(F.col("at") + 1))
     w = Window.partitionBy("doc_id")
     end = F.coalesce(F.min(F.when((F.col("type") == "heading") & (F.col("ord") > F.col("first")), F.col("ord"))).over(w), F.max("ord").over(w) + 1)
@@ -64,14 +65,16 @@ def extract_bibliography(blocks: DataFrame) -> DataFrame:
     def split(table: pa.Table) -> pa.Table:
         rows = table.sort_by("ord").to_pylist()
         out = [r | {"type": "reference", "sub": k, "ord": rows[0]["ord"]} for k, r in enumerate(_entries(rows))]
-        return pa.Table.from_pylist(out, schema=pa.schema([*table.schema, pa.field("sub", pa.int32())]))
+        return pa.Table.from_pylist(out, schema=kinds)
 
-    body = cut.filter(F.col("inside") & (F.col("type") == "paragraph")).select(*COLUMNS)
-    entries = body.groupBy("doc_id").applyInArrow(split, "doc_id long, ord int, type string, level int, ordered boolean, text string, page int, size float, sub int").withColumn("rank", F.lit(0))
-    rest = cut.filter(~(F.col("inside") & (F.col("type") == "paragraph"))).select(*COLUMNS, F.lit(0).alias("sub"), F.when(F.col("inside"), 1).otherwise(0).alias("rank"), F.when(F.col("inside"), F.col("first")).otherwise(F.col("ord")).alias("_place"))
+    body = cut.filter(F.col("inside") & (F.col("type") == "paragraph")).select(*columns)
+    whole = body.withColumn("sub", F.lit(0)).schema
+    kinds = to_arrow_schema(whole)
+    entries = body.groupBy("doc_id").applyInArrow(split, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.fields)).withColumn("rank", F.lit(0))
+    rest = cut.filter(~(F.col("inside") & (F.col("type") == "paragraph"))).select(*columns, F.lit(0).alias("sub"), F.when(F.col("inside"), 1).otherwise(0).alias("rank"), F.when(F.col("inside"), F.col("first")).otherwise(F.col("ord")).alias("_place"))
     both = rest.unionByName(entries.withColumn("_place", F.col("ord")), allowMissingColumns=True)
     parsed = both.withColumn("label", F.when(F.col("type") == "reference", R.label(F.col("text"))))
     order = Window.partitionBy("doc_id").orderBy("_place", "rank", "ord", "sub")
     labels = F.collect_set("label").over(Window.partitionBy("doc_id"))
     linked: Column = F.when(F.col("type").isin("paragraph", "list_item", "caption"), R.link_citations(F.col("text"), labels)).otherwise(F.col("text"))
-    return parsed.select("doc_id", (F.row_number().over(order) - 1).alias("ord"), "type", "level", "ordered", linked.alias("text"), "page", "size", "label")
+    return parsed.select("doc_id", (F.row_number().over(order) - 1).alias("ord"), *(linked.alias("text") if c == "text" else c for c in columns if c not in ("doc_id", "ord")), "label")

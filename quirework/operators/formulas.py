@@ -84,12 +84,15 @@ def _row(items: list[Item], rules: list[Item], doubt: _Doubt) -> str:
                     doubt.guess()
             piece = name
             if c in LARGE and it["y1"] - it["y0"] > 1.1 * size:
-                near = [i for i in items if i is not it and i["size"] < it["y1"] - it["y0"] and it["x0"] - size <= (i["x0"] + i["x1"]) / 2 <= it["x1"] + size / 2 and i["size"] <= 0.92 * size]
-                low, high = [i for i in near if i["oy"] > it["y1"]], [i for i in near if i["oy"] < it["y0"] + 0.2 * size]
+                # limits begin within the operator's width, above or below it
+                low, high = [], []
+                while k < len(items) and items[k]["x0"] <= it["x1"]:
+                    middle = (items[k]["y0"] + items[k]["y1"]) / 2
+                    if it["y0"] <= middle <= it["y1"]:
+                        break
+                    (high if middle < it["y0"] else low).append(items[k])
+                    k += 1
                 piece += (_script("_", _region(low, rules, doubt)) if low else "") + (_script("^", _region(high, rules, doubt)) if high else "")
-                used = {id(i) for i in low + high}
-                rest = [i for i in items[k:] if id(i) not in used]
-                items = items[:k] + rest
         sub, sup = [], []
         while k < len(items) and items[k]["size"] <= 0.92 * it["size"] and abs(items[k]["oy"] - it["oy"]) > 0.12 * it["size"]:
             (sup if items[k]["oy"] < it["oy"] else sub).append(items[k])

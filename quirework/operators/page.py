@@ -120,7 +120,7 @@ class _Line:
         out = []
         for a, b in zip(starts, [*starts[1:], len(g)], strict=True):
             x0, y0, x1, y1 = _hull([x["box"] for x in g[a:b]])
-            out.append({"text": "".join(x["text"] for x in g[a:b]), "x0": x0, "y0": y0, "x1": x1, "y1": y1})
+            out.append({"text": "".join(x["text"] for x in g[a:b]), "x0": x0, "y0": y0, "x1": x1, "y1": y1, "start": a, "end": b})
         return out
 
 
@@ -250,6 +250,16 @@ def merge_boxes(boxes: list[Box], images: list[bool], gap: float = 24.0) -> list
         out = kept
 
 
+def figure_boxes(boxes: list[Box], images: list[bool], width: float, height: float) -> list[tuple[Box, int, int]]:
+    """The figures of a page: of merged boxes those that take 1.5 to 85 percent of it, aren't narrow, and have an image or eight paths."""
+    some = [k for k, b in enumerate(boxes) if b[2] > b[0] and b[3] > b[1]]
+    area, out = max(1.0, width * height), []
+    for (x0, y0, x1, y1), n_images, n_paths in merge_boxes([boxes[k] for k in some], [images[k] for k in some]):
+        if 0.015 <= (x1 - x0) * (y1 - y0) / area <= 0.85 and min(x1 - x0, y1 - y0) >= 36 and (n_images or n_paths >= 8):
+            out.append(((x0, y0, x1, y1), n_images, n_paths))
+    return out
+
+
 def figures(marks: DataFrame) -> DataFrame:
     """``doc_id, page, region, x0, y0, x1, y1, images, paths`` of marks ``doc_id, page, x0, y0, x1, y1, image, page_width, page_height``.
 
@@ -257,13 +267,9 @@ def figures(marks: DataFrame) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        rows = [r for r in table.to_pylist() if r["x1"] > r["x0"] and r["y1"] > r["y0"]]
-        out = []
-        if rows:
-            area = max(1.0, rows[0]["page_width"] * rows[0]["page_height"])
-            for (x0, y0, x1, y1), images, paths in merge_boxes([(r["x0"], r["y0"], r["x1"], r["y1"]) for r in rows], [r["image"] for r in rows]):
-                if 0.015 <= (x1 - x0) * (y1 - y0) / area <= 0.85 and min(x1 - x0, y1 - y0) >= 36 and (images or paths >= 8):
-                    out.append({"doc_id": rows[0]["doc_id"], "page": rows[0]["page"], "region": len(out), "x0": x0, "y0": y0, "x1": x1, "y1": y1, "images": images, "paths": paths})
+        rows = table.to_pylist()
+        found = figure_boxes([(r["x0"], r["y0"], r["x1"], r["y1"]) for r in rows], [r["image"] for r in rows], rows[0]["page_width"], rows[0]["page_height"])
+        out = [{"doc_id": rows[0]["doc_id"], "page": rows[0]["page"], "region": k, "x0": b[0], "y0": b[1], "x1": b[2], "y1": b[3], "images": i, "paths": p} for k, (b, i, p) in enumerate(found)]
         return pa.Table.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("region", pa.int32()), *((k, pa.float32()) for k in ("x0", "y0", "x1", "y1")), ("images", pa.int32()), ("paths", pa.int32())]))
 
     return marks.groupBy("doc_id", "page").applyInArrow(run, "doc_id long, page int, region int, x0 float, y0 float, x1 float, y1 float, images int, paths int")

@@ -7,6 +7,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quirework.functions.text import count_words
 
@@ -35,19 +36,19 @@ def _attach(blocks: list[dict[str, Any]], regions: list[dict[str, Any]]) -> list
             continue
         above = [k for k, b in enumerate(blocks) if b["page"] == r["page"] and b["y1"] <= r["y0"] and min(b["x1"], r["x1"]) > max(b["x0"], r["x0"])]
         at = above[-1] + 1 if above else next((k for k, b in enumerate(blocks) if b["page"] >= r["page"]), len(blocks))
-        blocks.insert(at, {"type": "figure", "level": None, "ordered": None, "text": "", "page": r["page"], "x0": r["x0"], "y0": r["y0"], "x1": r["x1"], "y1": r["y1"], "size": None, "start": None})
+        blocks.insert(at, {"type": "figure", "text": "", **{k: r[k] for k in ("page", "x0", "y0", "x1", "y1")}})
     return blocks
 
 
 def attach_figures(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """Blocks (of ``assemble``) with figures (of ``figures``): captions become figures, others are put in, labels go."""
-    names = ["doc_id", "ord", "type", "level", "ordered", "text", "page", "x0", "y0", "x1", "y1", "size", "start"]
-    kinds = "doc_id long, ord int, type string, level int, ordered boolean, text string, page int, x0 float, y0 float, x1 float, y1 float, size float, start int"
+    names, kinds = blocks.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = _attach(left.sort_by("ord").to_pylist(), right.to_pylist())
-        return pa.Table.from_pylist([b | {"doc_id": key[0].as_py(), "ord": k} for k, b in enumerate(out)], schema=left.schema)
+        return pa.Table.from_pylist([b | {"doc_id": key[0].as_py(), "ord": k} for k, b in enumerate(out)], schema=kept)
 
+    kept = to_arrow_schema(blocks.schema)
     bare = drop_labels(blocks, regions).select(*names)
     placed = bare.groupBy("doc_id").cogroup(regions.groupBy("doc_id")).applyInArrow(run, kinds)
     return placed.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1)

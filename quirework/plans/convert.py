@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quirework.functions.compress import compress_block, level_of
 from quirework.operators import blocks as B
-from quirework.operators import furniture, page, render, sections, stats
+from quirework.operators import columns, furniture, page, paper, render, sections, stats
+from quirework.operators.bibliography import extract_bibliography
+from quirework.operators.placement import attach_figures
+from quirework.storage import discard, written
 
 FORMATS = {"md": render.to_markdown, "typst": render.to_typst, "text": render.to_text}
 
@@ -22,10 +25,26 @@ def blocks_of_lines(lines: DataFrame) -> DataFrame:
     return B.assemble(ordered, stats.measure(ordered))
 
 
-def blocks_of_glyphs(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Glyphs and pages (``doc_id, page, width, height``) as typed blocks."""
-    lines = page.build_lines(glyphs).drop("words", "italic").join(pages.select("doc_id", "page", F.col("height").cast("float").alias("page_height")), ["doc_id", "page"])
-    return blocks_of_lines(lines.select("doc_id", "page", "ord", "text", "baseline", "size", "x0", "y0", "x1", "y1", "bold", "page_height"))
+def blocks_of_primitives(documents: DataFrame) -> DataFrame:
+    """Documents of primitives (of ``read_json`` or a data source) as typed blocks, through all passes.
+
+    Lines, columns and their spine, furniture, typography, reading order, tables, equations and inline mathematics,
+    blocks, figures, and the bibliography with its citations, in this order.  What several passes read is written to
+    the shared folder: the pages once as read and once in columns, without glyphs from then on.
+    """
+    read = written(paper.read_pages(documents), "pages")
+    gutters = read.select("doc_id", "page", F.explode("gutters").alias("g")).select("doc_id", "page", "g.g0", "g.g1")
+    split = written(paper.split_pages(read, columns.spine(gutters)), "columns")
+    discard(read)
+    light = paper.light_lines(split)
+    marked = written(furniture.mark_furniture(light, split.select("doc_id", "page")), "lines")
+    gone = marked.filter("furniture").groupBy("doc_id", "page").agg(F.collect_set("ord").alias("gone"))
+    typography = written(stats.measure(marked.filter("NOT furniture").select(*light.columns)), "typography")
+    items = written(paper.lift_pages(split, gone, typography), "items")
+    prose = items.filter("kind = 'line'").select(*light.columns)
+    placed = paper.place_lifted(B.assemble(prose, typography), items)
+    regions = split.select("doc_id", "page", F.posexplode("regions").alias("region", "r")).select("doc_id", "page", "region", "r.*")
+    return extract_bibliography(written(attach_figures(placed, regions), "blocks"))
 
 
 def convert(blocks: DataFrame, to: str = "md", caveman: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from quirework.operators import bibliography as B
 from quirework.operators import formulas as O
 from quirework.operators import page as P
 from quirework.plans import fixtures
-from quirework.plans.convert import blocks_of_glyphs, blocks_of_lines, convert
+from quirework.plans.convert import blocks_of_lines, blocks_of_primitives, convert
 from quirework.plans.text_queries import LINES, docs
 from quirework.sources import adapters as A
 from quirework.sources import primitives as R
@@ -151,9 +151,7 @@ def _primitives(spark: SparkSession) -> DataFrame:
 @query()
 def primitives_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyphs of a page all the way to Markdown."""
-    d = _primitives(spark)
-    pages = R.pages(d)
-    return convert(blocks_of_glyphs(R.glyphs(d), pages.select("doc_id", "page", "height")), "md")
+    return convert(blocks_of_primitives(_primitives(spark)), "md")
 
 
 @query()
