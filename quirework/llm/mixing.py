@@ -1,23 +1,29 @@
 """Mixing sources to target weights by capped water-filling, and seeded sampling of repetitions.
 
 Of a budget of B characters, source s with weight w and c characters should give B·w/Σw, but at most
-``max_epochs``·c.  Sources are filled in the order of cap/weight: those whose cap lies below the common
-level are clamped, and the level of the rest is what the budget leaves them, in proportion to their
-weights.  That is the fixed point of clamping and redistributing, found with running sums over the table
-of sources, whatever their number.  Epochs = share / c: a document is repeated ⌊epochs⌋ times, and once
-more if its seeded uniform number is below the fraction.
+``max_epochs``·c.  Sources whose cap lies below the common level are clamped, and the level of the rest is what the
+budget leaves them, in proportion to their weights; that is repeated until no more are clamped.  Each round is one
+aggregate over the written table of sources, whatever their number, and comes to the driver as three sums.
+Epochs = share / c: a document is repeated ⌊epochs⌋ times, and once more if its seeded uniform number is below the
+fraction.
 
 Null sources form a source of their own; null or empty texts have 0 characters and are repeated like
 the rest of their source.  A source without characters has 0 epochs.  Sources that ``weights`` does not
 name have weight ``default_weight``; weights of 0 leave a source out.  Repeated rows share an identifier
-and so a random number.
+and so a random number, and sources of one ratio of cap to weight (ties) are clamped together.  Very long texts count
+with all their characters.  Other columns stay, whatever their names.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirework.llm.common import unused, written
+
+#: Among how many copies of a source's epochs its documents are spread, where there are too many sources to broadcast.
+SALTS = 64
+
 
 def source_epochs(docs: DataFrame, weights: dict[str, float] | None = None, max_epochs: float = 4.0, budget: float | None = None, power: float | None = None, default_weight: float = 1.0) -> DataFrame:
     """``source, n_docs, chars, weight, epochs`` of each source.
@@ -33,22 +39,29 @@ def source_epochs(docs: DataFrame, weights: dict[str, float] | None = None, max_
         weight = F.when(F.col("source") == s, float(w)).otherwise(weight)
     if power is not None:
         weight = F.pow(F.col("chars").cast("double"), F.lit(float(power)))
-    table = sizes.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(0.0)).withColumn("cap", F.col("chars") * float(max_epochs))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    table = written(sizes.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(0.0)), "sources")
+    cap, ratio = F.col("chars") * float(max_epochs), F.col("chars") * float(max_epochs) / F.col("weight")
+    some = table.filter("weight > 0")
+
+    def summed(*sums: Column) -> list[float]:
+        return [x or 0.0 for x in some.agg(*sums).first()]
+
     if budget == "cover":
-        # level = B / Σ weights reaches the chars of the source that has the most for its weight
-        level = F.max(F.when(F.col("weight") > 0, F.col("chars") / F.col("weight"))).over(everything)
-        total = F.sum(F.least("cap", level * F.col("weight"))).over(everything)
+        # the level that reaches the characters of the source that has the most for its weight
+        (level,) = summed(F.max(F.col("chars") / F.col("weight")))
+        (total,) = summed(F.sum(F.least(cap, level * F.col("weight"))))
     else:
-        total = F.lit(float(budget)) if budget is not None else F.sum("chars").over(everything).cast("double")
-    filled = Window.orderBy("ratio", "source").rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy("ratio", "source").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = table.withColumn("budget", total).withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(float("inf"))))
-    levels = ranked.withColumn("level", F.try_divide(F.col("budget") - F.coalesce(F.sum("cap").over(filled), F.lit(0.0)), F.sum("weight").over(rest)))
-    # the level at the first source that it doesn't clamp; if all are clamped there is none
-    free = levels.withColumn("free", F.min(F.when((F.col("weight") > 0) & (F.col("level") < F.col("ratio")), F.struct("ratio", "source", "level"))).over(everything)["level"])
-    share = F.when(F.col("weight") == 0, 0.0).when(F.col("free").isNull() | (F.col("ratio") <= F.col("free")), F.col("cap")).otherwise(F.col("free") * F.col("weight"))
-    return free.select("source", "n_docs", "chars", "weight", F.round(F.when(F.col("chars") > 0, share / F.col("chars")).otherwise(0.0), 9).alias("epochs"))
+        total = float(budget) if budget is not None else float(table.agg(F.sum("chars")).first()[0] or 0)
+    level, clamped = 0.0, -1
+    while True:
+        # what those clamped so far leave goes to the rest in proportion to their weights
+        over = ratio <= level
+        n, taken, weights_left = summed(F.sum(over.cast("long")), F.sum(F.when(over, cap)), F.sum(F.when(~over, F.col("weight"))))
+        if n == clamped or not weights_left:
+            break
+        level, clamped = (total - taken) / weights_left, n
+    share = F.when(F.col("weight") == 0, 0.0).when(ratio <= level, cap).otherwise(level * F.col("weight")) if weights_left else F.when(F.col("weight") == 0, 0.0).otherwise(cap)
+    return table.select("source", "n_docs", "chars", "weight", F.round(F.when(F.col("chars") > 0, share / F.col("chars")).otherwise(0.0), 9).alias("epochs"))
 
 
 def uniform(seed: int, key: Column) -> Column:
@@ -56,13 +69,24 @@ def uniform(seed: int, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, max_epochs: float = 4.0, budget: float | None = None, power: float | None = None, default_weight: float = 1.0, seed: int = 0) -> DataFrame:
-    """The documents repeated to the target mix, with ``repetition`` (0, 1, ...); a column of that name in the input is replaced."""
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, max_epochs: float = 4.0, budget: float | None = None, power: float | None = None, default_weight: float = 1.0, seed: int = 0, most_broadcast: int = 100_000) -> DataFrame:
+    """The documents repeated to the target mix, with ``repetition`` (0, 1, ...); a column of that name in the input is replaced.
+
+    Epochs of up to ``most_broadcast`` sources are broadcast; those of more are joined with salted documents.
+    """
     docs = docs.drop("repetition")
-    epochs = source_epochs(docs, weights, max_epochs, budget, power, default_weight).select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"))
-    times = F.floor("_epochs") + F.when(uniform(seed, F.col("doc_id")) < F.col("_epochs") - F.floor("_epochs"), 1).otherwise(0)
-    joined = docs.join(epochs, docs["source"].eqNullSafe(F.col("_source"))).withColumn("_times", times.cast("int")).filter("_times > 0")
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("repetition"))
+    own, times, salt = unused(docs, "own_source", "times", "salt")
+    epochs = written(source_epochs(docs, weights, max_epochs, budget, power, default_weight).select(F.col("source").alias(own), F.col("epochs").alias(times)), "epochs")
+    joined = docs.join(F.broadcast(epochs), docs["source"].eqNullSafe(F.col(own)))
+    if epochs.count() > most_broadcast:
+        # a source may have any share of the rows: each meets one of several copies of its epochs
+        copies = epochs.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(copies, salted["source"].eqNullSafe(copies[own]) & (salted[salt] == copies[salt])).drop(copies[salt])
+    whole = F.floor(times)
+    n = (whole + F.when(uniform(seed, F.col("doc_id")) < F.col(times) - whole, 1).otherwise(0)).cast("int")
+    drawn = joined.withColumn(times, n).filter(F.col(times) > 0)
+    return drawn.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias("repetition"))
 
 
 def oracle(weights: dict[str, float], max_epochs: float, seed: int) -> str:
