@@ -1,4 +1,11 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and gives what the next one reads from Parquet."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and gives what the next one reads from Parquet.
+
+Rows with a null or blank text break a quality rule and go in the first stage.  Rows without identifier are judged by
+their text alone: they have no copies and no passages.  Repeated rows of one identifier fare alike in the first three
+stages and the mix, and are packed once each.  Of ties, i.e. copies of one text, the least identifier stays.  Very long texts
+are taken whole in every stage.  Other columns stay, whatever their names, until packing, which gives windows.  An
+empty table gives no windows.
+"""
 
 from __future__ import annotations
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quirework.llm.classifier import Ftrl, Learner, classify, features, score, train
 
@@ -75,3 +76,24 @@ def test_long_texts_count_to_the_end(spark):
     a = score(tail, weights).collect()[0]
     b = score(tail.select("doc_id", tail.text.substr(1, 10_000).alias("text")), weights).collect()[0]
     assert a.toxicity > b.toxicity
+
+
+def test_scores_are_sparse_dot_products(spark):
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=(2, (1 << 12) + 1))
+    texts = ["one two two two three", "Ünder the täble!", "", None, "word " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in score(df, weights).collect()}
+    for k, text in enumerate(texts):
+        x, _ = features(pa.array([text], pa.string()), 12)
+        want = [round(float(1 / (1 + np.exp(-(w.astype(np.float32)[x].astype(float).sum() + np.float32(w[-1]))))), 5) if len(x) else 0.0 for w in weights]
+        assert [round(got[k].quality, 5), round(got[k].toxicity, 5)] == pytest.approx(want, abs=2e-5)
+
+
+def test_repeated_rows_do_not_lift_the_bound(spark):
+    """3,000 rows of one labelled document are one row of training."""
+    docs = spark.createDataFrame([(1, "good text here")] * 3000 + [(k, f"text {k}") for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 40)], "doc_id long, quality int, toxic int")
+    plain = docs.dropDuplicates()
+    a, b = (train(d, labels, bits=10, train_rows=20) for d in (docs, plain))
+    assert (a == b).all()

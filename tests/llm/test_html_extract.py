@@ -72,3 +72,46 @@ def test_awkward_rows(spark):
     assert extract(df.filter("false"), model).count() == 0
     unknown = train(df.filter("page_id = 1"))
     assert (unknown.unary == 0).all() and extract(df.filter("page_id = 3"), unknown).collect()[0].content.startswith("menu")
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """A step of training goes up the log-likelihood as numerical differences say."""
+    rng = np.random.default_rng(5)
+    trees = forest([parse("<article><p>a<b>b</b></p></article><p>c"), parse("<p>x<main>y</main>")])
+    unary, edge = rng.normal(size=N_FEATURES) * 0.3, rng.normal(size=(KINDS, 2, 2)) * 0.3
+
+    def likelihood(u, e):
+        n, best, total = len(trees.parent), 0.0, 0.0
+        for x in itertools.product((0, 1), repeat=n):
+            s = np.exp(sum(u[trees.feature[k]].sum() * x[k] + (e[trees.kind[k], x[trees.parent[k]], x[k]] if trees.parent[k] >= 0 else 0) for k in range(n)))
+            total += s
+            if list(x) == trees.label.astype(int).tolist():
+                best = s
+        return np.log(best / total)
+
+    p, joint = marginals(trees, Model(unary, edge))
+    node = np.bincount(trees.feature.ravel(), np.repeat(trees.label - p, trees.feature.shape[1]), N_FEATURES)
+    for f in np.unique(trees.feature)[::7]:
+        step = np.zeros(N_FEATURES)
+        step[f] = 1e-5
+        assert node[f] == pytest.approx((likelihood(unary + step, edge) - likelihood(unary - step, edge)) / 2e-5, abs=1e-4)
+    below = np.flatnonzero(trees.parent >= 0)
+    for kind, a, b in itertools.product(range(KINDS), (0, 1), (0, 1)):
+        mine = below[trees.kind[below] == kind]
+        want = sum((trees.label[trees.parent[k]] == a) & (trees.label[k] == b) for k in mine) - joint[mine, a, b].sum()
+        step = np.zeros((KINDS, 2, 2))
+        step[kind, a, b] = 1e-5
+        assert want == pytest.approx((likelihood(unary, edge + step) - likelihood(unary, edge - step)) / 2e-5, abs=1e-4)
+
+
+def test_repeated_pages_train_once(spark):
+    body = "<article><p>some long text of a page, with words.</p></article><p>menu"
+    rows = [(1, body)] * 3000 + [(k, body.replace("page", f"page {k}")) for k in range(2, 8)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    a, b = train(df, train_pages=5, steps=10), train(df.dropDuplicates(), train_pages=5, steps=10)
+    assert np.allclose(a.unary, b.unary) and np.allclose(a.edge, b.edge)
+
+
+def test_stray_tags_are_not_sought():
+    """Many end tags without a start within deep markup take no longer for that."""
+    assert len(parse("<b>" * 20_000 + "</i>" * 20_000 + "<li>x" * 2000).parent) == 1 + 20_000 + 2 * 2000

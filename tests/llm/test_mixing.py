@@ -72,3 +72,10 @@ def test_awkward_rows(awkward, empty):
     for bad in ({"max_epochs": 0.0}, {"weights": {"a": -1.0}}):
         with pytest.raises(ValueError):
             mix_sources(awkward, **bad)
+
+
+def test_many_sources_are_joined_with_salted_documents(spark):
+    """The join for more sources than are broadcast gives the same rows."""
+    docs = spark.createDataFrame([(i, "abcd" * (1 + i % 3), None if i % 7 == 0 else f"s{i % 5}") for i in range(300)], "doc_id long, text string, source string")
+    a, b = (mix_sources(docs, {"s1": 3.0}, seed=2, most_broadcast=k).collect() for k in (100, 1))
+    assert sorted(map(str, a)) == sorted(map(str, b)) and len(a)

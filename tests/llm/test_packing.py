@@ -89,3 +89,14 @@ def test_awkward_rows(awkward, empty):
     assert pack(empty).count() == 0
     with pytest.raises(ValueError):
         pack(awkward, window=0)
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 64])
+def test_leftovers_are_merged_as_a_tree(spark, fan_in):
+    """However many tasks merge, no token is lost, and few windows are left with much room."""
+    rng = random.Random(fan_in)
+    docs = spark.createDataFrame([(i, " ".join("w" * rng.randint(1, 60))) for i in range(200)], "doc_id long, text string").repartition(20)
+    rows = pack(docs, window=100, open_windows=3, fan_in=fan_in).collect()
+    assert sum(r.used for r in rows) == sum(len(r.text.split()) for r in docs.collect())
+    assert len({r.window for r in rows}) == len(rows) and all(r.used == sum(p.n for p in r.pieces) <= 100 for r in rows)
+    assert sum(r.used <= 50 for r in rows) <= 3

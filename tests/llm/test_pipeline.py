@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quirework.llm.common import written
 from quirework.llm.queries import oracle_sql, queries
 
 from .test_ngram_join import brute as pairs
@@ -51,3 +52,16 @@ def test_sql_agrees(spark, sf, name):
     assert sorted(a.columns) == sorted(b.columns)
     key = lambda df: sorted(tuple(round(float(x), 5) if isinstance(x, float) else str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert key(a) == key(b)
+
+
+def test_stages_over_awkward_rows(spark, awkward, empty):
+    """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names in every stage."""
+    for first in (awkward, empty):
+        docs = first
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, "")
+            if name != "windows":
+                assert docs.columns == first.columns
+            docs = written(docs, f"awkward-{name}")
+        assert docs.filter("used > 2048").count() == 0
+        assert (docs.count() == 0) == (first is empty)
