@@ -29,6 +29,8 @@ from quirework.llm.common import BASE, mix64, slices, span_hashes, text_bytes
 
 #: Bytes of a token that stand for its stem.
 STEMS = (5, 7)
+#: Bytes of text whose features are computed at once.
+AT_ONCE = 1 << 20
 SAME = np.uint64(0x5A5A5A5A5A5A5A5A)
 
 
@@ -124,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, train_rows: int =
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in slices(batch.column("_text")):
+            for i, j in slices(batch.column("_text"), AT_ONCE):
                 x, offsets = features(batch.column("_text").slice(i, j - i), bits)
                 grams = pa.array([x[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), grams, pa.array([0] * (j - i), pa.int32())], ["place", "quality", "toxic", "grams", "task"])
@@ -154,7 +156,7 @@ def score(docs: DataFrame, weights: np.ndarray, least_quality: float = 0.5, most
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for batch in batches:
-            for i, j in slices(batch.column("text")):
+            for i, j in slices(batch.column("text"), AT_ONCE):
                 x, offsets = features(batch.column("text").slice(i, j - i), bits)
                 some = np.diff(offsets) > 0
                 p = []
