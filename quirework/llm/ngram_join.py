@@ -50,6 +50,8 @@ COLUMN_BLOCK = 2
 HOT_SHARE = 1 / 1024
 #: The bits of an n-gram that travel, after those that name its column block.
 SHORT = 32
+#: N-grams that are packed at once.
+AT_ONCE = 1 << 20
 #: So many rows may share the first half of their keys; of 10**11 rows, about 300 do.
 MOST_CLASHES = 100_000
 _PIECES = 16
@@ -138,11 +140,20 @@ def _postings(docs: DataFrame, n: int, threshold: float, bits: int, clashes: np.
     sketch, short, part = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n)), np.uint64(64 - bits - SHORT), np.uint64(64 - bits)
     mask = np.uint64((1 << SHORT) - 1)
 
+    def packed(found: list[tuple[np.ndarray, int, int, int, int]]) -> pa.RecordBatch:
+        g = np.concatenate([x[0] for x in found])
+        w = np.repeat(np.arange(len(found), dtype=np.uint32), [len(x[0]) for x in found])
+        keys, sizes, last, slack = (np.array([x[k] for x in found], t) for k, t in ((1, np.uint64), (2, np.uint32), (3, np.uint32), (4, np.uint32)))
+        rows = []
+        for p, x in POSTINGS.split((g >> part if bits else g * np.uint64(0)).astype(np.int32), which=w, gram=(g >> short & mask).astype(np.uint32)):
+            there, x["which"] = np.unique(x["which"], return_inverse=True)
+            rows.append((p, x | {"keys": keys[there], "sizes": sizes[there], "last": last[there], "slack": slack[there]}))
+        return POSTINGS.batch(rows)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
+        counts, found, total = sketch.value, [], 0
         for batch in batches:
             texts = batch.column("text")
-            keys, sizes, last, slack, which, grams = [], [], [], [], [], []
             for i, j in slices(texts):
                 h, offsets = word_hashes(texts.slice(i, j - i))
                 own = _row_names(text_keys(h, offsets), clashes)
@@ -151,24 +162,16 @@ def _postings(docs: DataFrame, n: int, threshold: float, bits: int, clashes: np.
                         count = counts[(g & np.uint64((1 << _CHUNK) - 1)).astype(np.int64)]
                         rank = np.argsort(count, kind="stable")
                         end = rank[_prefix(len(g), threshold) - 1]
-                        last.append(int(count[end]) << 24 | int(g[end]) >> 40)
                         # sorted, so that those that share block and bits are neighbours
                         cut = g >> short
-                        slack.append(np.count_nonzero(cut[1:] == cut[:-1]))
-                        g = g[rank[: _prefix(len(g), threshold)]]
-                        grams.append(g)
-                        which.append(np.full(len(g), len(keys), np.uint32))
-                        keys.append(own[k])
-                        sizes.append(len(rank))
-            if not keys:
-                continue
-            g, w = np.concatenate(grams), np.concatenate(which)
-            keys, sizes, last, slack = np.array(keys, np.uint64), np.array(sizes, np.uint32), np.array(last, np.uint32), np.array(slack, np.uint32)
-            rows = []
-            for p, x in POSTINGS.split((g >> part if bits else g * np.uint64(0)).astype(np.int32), which=w, gram=(g >> short & mask).astype(np.uint32)):
-                there, x["which"] = np.unique(x["which"], return_inverse=True)
-                rows.append((p, x | {"keys": keys[there], "sizes": sizes[there], "last": last[there], "slack": slack[there]}))
-            yield POSTINGS.batch(rows)
+                        some = g[rank[: _prefix(len(g), threshold)]]
+                        found.append((some, own[k], len(g), int(count[end]) << 24 | int(g[end]) >> 40, np.count_nonzero(cut[1:] == cut[:-1])))
+                        total += len(some)
+                if total >= AT_ONCE:
+                    yield packed(found)
+                    found, total = [], 0
+        if found:
+            yield packed(found)
 
     return docs.select("text").mapInArrow(emit, POSTINGS.schema)
 
@@ -215,7 +218,7 @@ def _block_entries(postings: DataFrame, threshold: float, blocks: int) -> DataFr
         some = np.flatnonzero(before)
         total, pairs, i = np.cumsum(before[some]), [], 0
         while i < len(some):
-            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 20), side="right")))
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 19), side="right")))
             at = some[i:j]
             right = np.repeat(at, before[at])
             left = np.repeat(at - before[at], before[at]) + np.arange(len(right)) - np.repeat(np.cumsum(before[at]) - before[at], before[at])

@@ -358,23 +358,3 @@ def page_tables(rules: list[Box], lines: list[dict[str, Any]], body: float, figu
             heads = next((i for i, k in enumerate(inside) if not lines[k]["baseline"] < chain[1][3]), len(inside))
         out.append({"box": region, "rows": rows, "header_rows": heads, "lines": inside})
     return out
-
-
-def ruled_tables(lines: DataFrame, body: float = 10.0) -> DataFrame:
-    """``doc_id, page, rows, header_rows`` of pages of lines ``doc_id, page, text, baseline``, words of which stand at five points a character, between a rule above and one below all of them."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["baseline"])
-        each, right = [], 0.0
-        for r in rows:
-            words, at = [], 72.0
-            for cell in r["text"].split("|"):
-                words.append({"text": cell.strip(), "x0": at, "x1": at + 5.0 * max(1, min(len(cell.strip()), 8))})
-                at += 60.0
-            right = max(right, words[-1]["x1"])
-            each.append({"text": r["text"], "baseline": r["baseline"], "x0": 72.0, "x1": words[-1]["x1"], "words": words})
-        found = page_tables([(72.0, rows[0]["baseline"] - 12, right, rows[0]["baseline"] - 11.5), (72.0, rows[-1]["baseline"] + 2, right, rows[-1]["baseline"] + 2.5)], each, body, [])
-        out = [{"doc_id": rows[0]["doc_id"], "page": rows[0]["page"], "rows": t["rows"], "header_rows": t["header_rows"]} for t in found]
-        return pa.Table.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("rows", pa.list_(pa.list_(pa.string()))), ("header_rows", pa.int32())]))
-
-    return lines.select("doc_id", "page", "text", "baseline").groupBy("doc_id", "page").applyInArrow(run, "doc_id long, page int, rows array<array<string>>, header_rows int")

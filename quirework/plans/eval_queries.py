@@ -14,10 +14,9 @@ from quirework.evaluate import source as L
 from quirework.functions import maths as M
 from quirework.operators import bibliography as B
 from quirework.operators import formulas as O
-from quirework.operators import page as P
 from quirework.plans import fixtures
 from quirework.plans.convert import blocks_of_lines, blocks_of_primitives, convert
-from quirework.plans.text_queries import LINES, docs
+from quirework.plans.text_queries import docs
 from quirework.sources import adapters as A
 from quirework.sources import primitives as R
 
@@ -45,6 +44,7 @@ fixtures.TABLES |= {
         ("old", "a", 0.9, 0.5, 0.7, 3, 10, 5), ("old", "b", 0.8, None, 0.6, 1, None, 2), ("old", "c", 0.7, 0.1, 0.1, 0, 1, 1),
         ("new", "a", 0.896, 0.6, 0.7, 2, 10, 6), ("new", "b", 0.79, 0.4, None, 1, 4, None), ("new", "d", 1.0, 1.0, 1.0, 1, 1, 1),
     ]),
+    "maths": ("id int, text string", [(1, "where α = 2 holds for β_1 and γ alone"), (2, "no formula 3 = 3 in here"), (3, "∑ x ≤ 4 , ( δ ) ends"), (4, "α"), (5, "αβ")]),
     "fonts": ("id int, name string, word string", [(i, n, w) for i, (n, w) in enumerate([("CMMI10", "x"), ("CMR10", "the"), ("Mathematica1", "a"), ("STIXMath-Regular", "=2"), ("rtxmi", "α+1"), ("Times-Roman", "(3,"), ("MSBM10", "ℝ"), ("Arial", "–")])]),
 }
 
@@ -56,17 +56,17 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.counts(fixtures.table(spark, "latex"))
 
 
-@query()
+@query(fixtures.known("paper string, prose string, sections string", [("a", "1. Model Design Text with bold words . Results today", "model design; results today"), ("b", "", ""), ("c", "no markup at all", "")]))
 def source_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, "latex").select("paper", L.prose("source").alias("prose"), F.array_join(L.section_titles("source"), "; ").alias("sections"))
 
 
-@query()
+@query(fixtures.known("paper string, reference long, found long, fidelity double, recall double", [("a", 2, 2, 1.0, 1.0), ("b", 1, 1, 1.0, 1.0), ("c", 0, 0, 0.0, 0.0)]))
 def equation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.compare_equations(fixtures.table(spark, "latex"))
 
 
-@query()
+@query(fixtures.known("paper string, reference int, found int, recall double", [("a", 2, 1, 0.5), ("b", 0, 0, 0.0), ("c", 0, 0, 0.0)]))
 def section_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.compare_sections(fixtures.table(spark, "latex"))
 
@@ -100,14 +100,13 @@ def maths_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, "fonts").select("id", M.is_font(F.col("name")).alias("math_font"), M.is_symbol(F.col("word")).alias("symbol"), M.word_role(F.col("word"), F.lit(False)).alias("role"))
 
 
-@query(rf"""WITH lines AS ({LINES}), w AS (SELECT doc_id, ord, unnest(ws) AS t, unnest(range(len(ws)))::INT AS pos FROM (SELECT doc_id, ord, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM lines)),
+@query(rf"""WITH w AS (SELECT id AS doc_id, 0 AS ord, unnest(ws) AS t, unnest(range(len(ws)))::INT AS pos FROM (SELECT id, string_split(text, ' ') AS ws FROM {fixtures.sql("maths")})),
   r AS (SELECT *, CASE WHEN regexp_matches(t, '{M.SYMBOL}') THEN 'seed' WHEN regexp_matches(t, '{_FILLER}') THEN 'connector' ELSE 'prose' END AS role FROM w), s AS (SELECT *, sum((role = 'prose')::INT) OVER (PARTITION BY doc_id, ord ORDER BY pos) AS span FROM r)
 SELECT doc_id, ord, span::BIGINT AS span, min(pos) AS first, max(pos) AS last, string_agg(t, ' ' ORDER BY pos) AS text FROM s WHERE role <> 'prose' GROUP BY doc_id, ord, span HAVING bool_or(role = 'seed') AND NOT (min(pos) = max(pos) AND length(string_agg(t, ' ')) = 1)""")
 def inline_maths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirework.functions.text import split_words
 
-    words = A.typeset(docs(spark, sf_dir)).select("doc_id", "ord", F.posexplode(split_words(F.col("text"))).alias("pos", "text"))
-    return O.inline_spans(words)
+    return O.inline_spans(fixtures.table(spark, "maths").select(F.col("id").alias("doc_id"), F.lit(0).alias("ord"), F.posexplode(split_words(F.col("text"))).alias("pos", "text")))
 
 
 def _glyph(at: int, text: str, x: float, y: float, size: float = 10.0) -> tuple:
@@ -119,7 +118,7 @@ _GLYPHS = [
 ]
 
 
-@query()
+@query(fixtures.known("formula_id long, latex string, confidence double", [(1, "x^2", 1.0), (2, r"\frac{a}{b}", 1.0), (3, r"\sqrt{y}", 1.0), (4, r"\alpha = \beta_{ij}", 1.0), (5, "☃", 0.75)]))
 def rebuilt_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     glyphs = spark.createDataFrame(_GLYPHS, "formula_id long, text string, x0 double, y0 double, x1 double, y1 double, oy double, size double")
     rules = spark.createDataFrame([(2, 8.0, 98.0, 18.0, 98.5), (3, 5.0, 92.5, 10.5, 93.0)], "formula_id long, x0 double, y0 double, x1 double, y1 double")
@@ -148,35 +147,31 @@ def _primitives(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(text,)], "j string").select(F.from_json("j", R.DOCUMENT).alias("d")).select("d.*")
 
 
-@query()
+@query(fixtures.known("doc_id long, rendered string", [(1, "# A Study of Things\n\n## 1 Introduction\n\nThe first words of it go on in a second line.\n\n*[figure]*\n")]))
 def primitives_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyphs of a page all the way to Markdown."""
     return convert(blocks_of_primitives(_primitives(spark)), "md")
 
 
-@query()
+@query(fixtures.known("doc_id long, page int, width float, height float, rotation int, n_glyphs int, n_paths int, n_images int, font string, n long, percent double, rank int", [(1, 0, 612.0, 792.0, 0, 75, 1, 1, "F1", 75, 100.0, 1)]))
 def primitives_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a page's primitives, and its commonest fonts."""
     d = _primitives(spark)
     return R.pages(d).join(R.font_report(R.glyphs(d)), "doc_id")
 
 
-@query()
-def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents that hold pipes as the rows of tables between rules."""
-    lines = A.typeset(docs(spark, sf_dir)).filter(F.col("text").contains("|"))
-    return P.ruled_tables(lines)
-
-
-@query()
+@query(fixtures.known("doc_id long, ord int, type string, text string, page int, label string", [
+    (1, 0, "paragraph", "As [[1](#ref-1), [3](#ref-3)] and [4] say.", 0, ""), (1, 1, "heading", "References", 1, ""), (1, 2, "reference", "[1] A. Author, B. Writer. A first work. 2001.", 1, "1"), (1, 3, "reference", "[2] C. Third. Another work of note. 2002.", 1, "2"),
+    (1, 4, "reference", "[3] D. Fourth. The last one. 2003.", 1, "3"), (1, 5, "heading", "Appendix", 2, ""), (2, 0, "paragraph", "No references [1].", 0, ""),
+]))
 def bibliography_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries of the fixture as a paragraph after its heading, split, parsed and linked."""
     run = " ".join(f"[{k}] {t}" for k, t in enumerate(("A. Author, B. Writer. A first work. 2001.", "C. Third. Another work of note. 2002.", "D. Fourth. The last one. 2003."), 1))
     rows = [(1, 0, "paragraph", None, None, "As [1, 3] and [4] say.", 0, 10.0), (1, 1, "heading", 1, None, "References", 1, 12.0), (1, 2, "paragraph", None, None, run, 1, 10.0), (1, 3, "heading", 1, None, "Appendix", 2, 12.0), (2, 0, "paragraph", None, None, "No references [1].", 0, 10.0)]
-    return B.extract_bibliography(spark.createDataFrame(rows, "doc_id long, ord int, type string, level int, ordered boolean, text string, page int, size float"))
+    return B.extract_bibliography(spark.createDataFrame(rows, "doc_id long, ord int, type string, level int, ordered boolean, text string, page int, size float")).select("doc_id", "ord", "type", "text", "page", F.coalesce("label", F.lit("")).alias("label"))
 
 
-@query()
+@query(fixtures.known("doc_id long, ord int, type string, text string, y0 double", [(1, 0, "paragraph", "above it all there is a text of more than twelve words, which stays where it is", 50.0), (1, 1, "figure", "Figure 1: a plot", 230.0), (1, 2, "paragraph", "below", 300.0), (1, 3, "figure", "", 500.0)]))
 def figures_among_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A captioned figure, one without caption, and labels within the first."""
     from quirework.operators.placement import attach_figures
@@ -184,4 +179,4 @@ def figures_among_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, k, t, None, None, x, 0, 72.0, y, 300.0, y + 10, 10.0, k) for k, (t, x, y) in enumerate((("paragraph", "above it all there is a text of more than twelve words, which stays where it is", 50.0), ("paragraph", "axis label", 150.0), ("caption", "Figure 1: a plot", 230.0), ("paragraph", "below", 300.0)))]
     blocks = spark.createDataFrame(rows, "doc_id long, ord int, type string, level int, ordered boolean, text string, page int, x0 float, y0 float, x1 float, y1 float, size float, start int")
     regions = spark.createDataFrame([(1, 0, 0, 72.0, 100.0, 300.0, 200.0), (1, 0, 1, 72.0, 500.0, 300.0, 600.0)], "doc_id long, page int, region int, x0 float, y0 float, x1 float, y1 float")
-    return attach_figures(blocks, regions)
+    return attach_figures(blocks, regions).select("doc_id", "ord", "type", "text", F.col("y0").cast("double").alias("y0"))

@@ -18,6 +18,7 @@ from quirework.operators import stats as T
 from quirework.plans import fixtures
 from quirework.plans.text_queries import LINES, docs
 from quirework.sources import adapters as A
+from quirework.sources import primitives as R
 
 SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,15 +91,12 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 4) AS percent FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 12")
 def top_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the twelve commonest values, with event types for fonts."""
-    counts = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("t"))
-    return counts.crossJoin(F.broadcast(total)).select("event_type", "n", F.round(F.col("n") * 100.0 / F.col("t"), 4).alias("percent")).orderBy(F.desc("n"), "event_type").limit(12)
+    return R.font_report(_table(spark, sf_dir, "events").select(F.lit(0).alias("doc_id"), F.col("event_type").alias("font"))).select(F.col("font").alias("event_type"), "n", "percent")
 
 
 @query("WITH s AS (SELECT source, sum(CASE WHEN n_chars < 50 THEN 1 ELSE 0 END) AS scanned, count(*) AS pages FROM documents GROUP BY source) SELECT source, scanned::BIGINT AS scanned, pages, scanned * 2 > pages AS is_scan FROM s")
 def scanned_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = docs(spark, sf_dir).groupBy("source").agg(F.sum((F.col("n_chars") < 50).cast("long")).alias("scanned"), F.count(F.lit(1)).alias("pages"))
-    return s.withColumn("is_scan", F.col("scanned") * 2 > F.col("pages"))
+    return R.mostly_scanned(docs(spark, sf_dir).select(F.col("source").alias("doc_id"), (F.col("n_chars") < 50).alias("s"))).select(F.col("doc_id").alias("source"), F.col("n").alias("scanned"), "pages", F.col("scanned").alias("is_scan"))
 
 
 # ---- geometry: two rectangles from the components of each vector
@@ -182,7 +180,8 @@ def document_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.spine(K.gutters(_word_boxes(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH lines AS ({LINES}), n AS (SELECT *, ord % 2 AS col, count(*) OVER p AS k, max(ord % 2) OVER p - min(ord % 2) OVER p AS two FROM lines WINDOW p AS (PARTITION BY doc_id, page))
+SELECT doc_id, page, ord AS line, (row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN k >= 4 AND two = 1 THEN col ELSE 0 END, ord) - 1)::INT AS ord FROM n""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines set alternately in a left and a right column, in the order in which they are read."""
     left = F.col("ord") % 2 == 0
@@ -256,7 +255,11 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.to_text(A.html_blocks(_table(spark, sf_dir, "pages")))
 
 
-@query()
+_TYPST = r"array_to_string(list_transform(range(len(string_split(s, '$'))), lambda i: CASE WHEN i % 2 = 0 THEN regexp_replace(string_split(s, '$')[i + 1], '([#\[\]*_@\\<>])', '\\\1', 'g') ELSE string_split(s, '$')[i + 1] END), '$')"
+
+
+@query(f"""WITH {_HTML}, m AS (SELECT *, CASE type WHEN 'list_item' THEN {_STRIP} ELSE text END AS s FROM blocks), e AS (SELECT doc_id, ord, text, CASE type WHEN 'title' THEN '= ' WHEN 'heading' THEN repeat('=', least(greatest(level, 1), 5) + 1) || ' ' WHEN 'list_item' THEN '- ' ELSE '' END || {_TYPST} AS r FROM m)
+SELECT doc_id, CASE WHEN bool_or(contains(text, '$')) THEN '#import "@preview/mitex:0.2.4": mi, mitex' || chr(10) || chr(10) ELSE '' END || regexp_replace(string_agg(r, chr(10) || chr(10) ORDER BY ord), '\\n+$', '') || chr(10) AS rendered FROM e GROUP BY doc_id""")
 def html_typst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.to_typst(A.html_blocks(_table(spark, sf_dir, "pages")))
 

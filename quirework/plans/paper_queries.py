@@ -9,26 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.operators import columns as K
+from quirework.operators import furniture as N
 from quirework.operators import paper
 from quirework.operators import stats as T
 from quirework.plans.convert import blocks_of_primitives, convert
+from quirework.plans.fixtures import known
 from quirework.sources import primitives as R
+from quirework.sources.pdf import parse_pdfs
 
 SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def query(names: str, rows: list[tuple]) -> Callable:
+def query(schema: str, rows: list[tuple]) -> Callable:
     """Registers a query with the rows that it must give."""
 
-    def literal(x: object) -> str:
-        if isinstance(x, str):
-            return "'" + x.replace("'", "''") + "'"
-        return "NULL" if x is None else str(x)
-
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) v({names})"
+        SQL[f.__name__] = known(schema, rows)
         return f
 
     return add
@@ -76,7 +74,7 @@ _LINES = [
 ]
 
 
-@query("doc_id, ord, text, n_words, size, n_rotated", [
+@query("doc_id long, ord int, text string, n_words int, size double, n_rotated int", [
     (1, 0, "hello", 1, 10.0, 0), (2, 0, "ab cdef", 2, 10.0, 0), (3, 0, "x2+y", 1, 10.0, 0), (4, 0, "two", 1, 8.0, 0), (4, 1, "one", 1, 10.0, 0), (5, 0, "Conformal antennas", 2, 10.0, 0), (5, 1, "are set here", 3, 10.0, 0), (6, 0, "flat", 1, 10.0, 2), (7, 0, "fit", 1, 10.0, 0),
 ])
 def lines_of_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +108,7 @@ _COLUMNS = [
 ]
 
 
-@query("doc_id, page, n_lines, n_bands, n_gutters", [(1, 0, 50, 1, 1), (1, 1, 50, 1, 1), (1, 2, 50, 1, 1), (1, 3, 47, 2, 1), (2, 0, 30, 1, 0), (3, 0, 1, 1, 0)])
+@query("doc_id long, page int, n_lines int, n_bands int, n_gutters int", [(1, 0, 50, 1, 1), (1, 1, 50, 1, 1), (1, 2, 50, 1, 1), (1, 3, 47, 2, 1), (2, 0, 30, 1, 0), (3, 0, 1, 1, 0)])
 def column_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages in two columns, and one that is so at its foot only, which the document's spine tells."""
     split = paper.split_pages(*_read(spark, _COLUMNS))
@@ -147,7 +145,7 @@ _TABLES = [
 ]
 
 
-@query("doc_id, page, cells, header_rows", [(1, 0, "Model|Score|Time;base|0.5|12;large|0.9|30", 1)])
+@query("doc_id long, page int, cells string, header_rows int", [(1, 0, "Model|Score|Time;base|0.5|12;large|0.9|30", 1)])
 def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table with a head between rules; rules too far apart and lines of one cell are none."""
     found = _items(spark, [_TABLES[0], _TABLES[2], _TABLES[3]]).filter("kind = 'table'")
@@ -174,7 +172,7 @@ _EQUATIONS = [
 ]
 
 
-@query("doc_id, latex, number", [(1, r"\alpha+\beta=\gamma", ""), (4, r"\alpha=\beta", "3"), (5, r"\alpha = \beta + \gamma", "2a"), (6, r"\alpha=\beta", ""), (6, r"\gamma=\delta", ""), (7, r"\sum_{i=1}^n\alpha+\beta+\gamma", ""), (8, r"f(\alpha)=\beta(3)", "")])
+@query("doc_id long, latex string, number string", [(1, r"\alpha+\beta=\gamma", ""), (4, r"\alpha=\beta", "3"), (5, r"\alpha = \beta + \gamma", "2a"), (6, r"\alpha=\beta", ""), (6, r"\gamma=\delta", ""), (7, r"\sum_{i=1}^n\alpha+\beta+\gamma", ""), (8, r"f(\alpha)=\beta(3)", "")])
 def display_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centred and numbered lines of mathematics, their numbers, and what is set above and below them."""
     found = _items(spark, _EQUATIONS).filter("kind = 'equation'")
@@ -188,7 +186,7 @@ _INLINE = [
 ]
 
 
-@query("doc_id, text", [(1, r"where $\alpha = 2$ holds for all of them"), (2, "no formula in here"), (3, "a lone x stays")])
+@query("doc_id long, text string", [(1, r"where $\alpha = 2$ holds for all of them"), (2, "no formula in here"), (3, "a lone x stays")])
 def inline_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of mathematics within prose, as one word each."""
     return _items(spark, _INLINE).filter("kind = 'line'").select("doc_id", "text")
@@ -223,7 +221,70 @@ _MARKDOWN = [
 ]
 
 
-@query("doc_id, rendered", [(1, "\n\n".join(_MARKDOWN) + "\n")])
+@query("doc_id long, rendered string", [(1, "\n\n".join(_MARKDOWN) + "\n")])
 def paper_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paper of glyphs, rules and an image all the way to Markdown."""
     return convert(blocks_of_primitives(documents(spark, [_paper()])), "md")
+
+
+# ---- figures, furniture, outlines
+
+
+def _picture(x0: float, y0: float, x1: float, y1: float) -> dict:
+    return {"bbox": {"x0": x0, "y0": y0, "x1": x1, "y1": y1}, "object_index": 0, "px_width": 10, "px_height": 10}
+
+
+_FIGURES = [
+    [page(0, [], images=[_picture(100, 100, 300, 250)])],
+    [page(0, [], paths=[{"bbox": {"x0": 100 + 30 * k, "y0": 100 + 20 * (k % 3), "x1": 112 + 30 * k, "y1": 112 + 20 * (k % 3)}} for k in range(9)])],
+    [page(0, [], paths=[{"bbox": {"x0": 100 + 30 * k, "y0": 100, "x1": 112 + 30 * k, "y1": 112}} for k in range(4)])],
+    [page(0, [], images=[_picture(0, 0, 612, 792)])],
+    [page(0, [], images=[_picture(100, 100, 120, 120)])],
+    [page(0, [], paths=[rule(72, 100 + 20 * k, 540) for k in range(12)])],
+    [page(0, [], images=[_picture(72, 100, 280, 250), _picture(330, 100, 540, 250)])],
+    [page(0, [], images=[_picture(-50, 700, 300, 900)])],
+]
+
+
+@query("doc_id long, region int, x0 double, y0 double, x1 double, y1 double", [
+    (1, 0, 100.0, 100.0, 300.0, 250.0), (2, 0, 100.0, 100.0, 352.0, 152.0), (7, 0, 72.0, 100.0, 280.0, 250.0), (7, 1, 330.0, 100.0, 540.0, 250.0), (8, 0, 0.0, 700.0, 300.0, 792.0),
+])
+def figures_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images, marks that merge, and what is too few, too large, too small, or a rule; boxes end at their page."""
+    regions = paper.read_pages(documents(spark, _FIGURES)).select("doc_id", F.posexplode("regions").alias("region", "r"))
+    return regions.select("doc_id", "region", *(F.col(f"r.{k}").cast("double").alias(k) for k in ("x0", "y0", "x1", "y1")))
+
+
+_FURNITURE = [
+    [page(k, run("Running head", 72, 40) + run(f"body of page {'abcdefgh'[k]}", 72, 300) + run(str(k + 1), 300, 760)) for k in range(8)],
+    [page(k, run("Running head", 72, 40) + run("body", 72, 300)) for k in range(3)],
+    [page(k, run("Left side" if k % 2 else "Right side", 72, 40) + run(f"text {'abcdefghij'[k]}", 72, 300)) for k in range(10)],
+]
+
+
+@query("doc_id long, n_lines long, n_furniture long", [(1, 24, 16), (2, 6, 0), (3, 20, 10)])
+def furniture_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads and folios of eight pages, of three, and heads that alternate."""
+    split = paper.split_pages(*_read(spark, _FURNITURE))
+    marked = N.mark_furniture(paper.light_lines(split), split.select("doc_id", "page"))
+    return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("furniture").cast("long")).alias("n_furniture"))
+
+
+def _file(content: str, more: str = "") -> bytes:
+    """A PDF file of one page."""
+    parts = ["<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents 5 0 R /Resources << /Font << /F1 4 0 R >> >> {more} >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", f"<< /Length {len(content)} >>\nstream\n{content}\nendstream"]
+    return ("%PDF-1.4\n" + "".join(f"{k} 0 obj\n{p}\nendobj\n" for k, p in enumerate(parts, 1)) + "trailer << /Root 1 0 R >>\n").encode()
+
+
+_FILES = [
+    _file("BT /F1 10 Tf 72 700 Td (Plain) Tj ET 72 600 300 0.5 re f 10 10 m 10 400 l S 100 100 50 40 re f"), _file("BT /F1 12 Tf 72 700 Td (Turned) Tj ET", "/Rotate 90"), b"no file of this kind",
+    _file("q 200 0 0 100 50 60 cm BI /W 1 /H 1 ID x EI Q"),
+]
+
+
+@query("doc_id long, width double, height double, words string, kinds string, n_images int, error string", [(1, 612.0, 792.0, "Plain", "hrule,vrule,box", 0, ""), (2, 792.0, 612.0, "Turned", "", 0, ""), (3, None, None, "", "", 0, "no PDF file"), (4, 612.0, 792.0, "", "", 1, "")])
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one page: text, rules and boxes, a turned page, an image, and bytes that are no file."""
+    files = spark.createDataFrame([(k, f"{k}.pdf", bytearray(x)) for k, x in enumerate(_FILES, 1)], "doc_id long, path string, content binary")
+    p = F.try_element_at("pages", F.lit(1))
+    return parse_pdfs(files).select("doc_id", p["width"].cast("double").alias("width"), p["height"].cast("double").alias("height"), F.coalesce(F.array_join(F.transform(p["glyphs"], lambda g: g["text"]), ""), F.lit("")).alias("words"), F.coalesce(F.array_join(F.transform(p["paths"], lambda x: x["kind"]), ","), F.lit("")).alias("kinds"), F.coalesce(F.size(p["images"]), F.lit(0)).alias("n_images"), F.coalesce("error", F.lit("")).alias("error"))

@@ -162,7 +162,7 @@ def linked_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, "citations").select("id", R.link_citations(F.col("text"), F.array(*map(F.lit, ("1", "2", "3")))).alias("linked"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (0, '[1] Y. Bengio, P. Simard, and P. Frasconi. Learning long-term dependencies is hard. IEEE TNN, 5(2):157-166, 1994.'), (1, '[2] Clark, K., Luong, M., and Manning, C. (2019). What does attention look at? arXiv:1906.04341.'), (2, '[3] Documenta Math. 26 (2021), 1851–1869.')) v(\"at\", entry)")
 def split_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All entries of the fixture run together and split again."""
     whole = fixtures.table(spark, "refs").filter("entry_id IN (1, 2, 3)").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_id", "text"))), lambda e: F.concat(F.lit("["), e["entry_id"].cast("string"), F.lit("] "), F.regexp_replace(e["text"], r"^(\[[0-9]+\]|[0-9]+\.)\s*", ""))), " ").alias("t"))
@@ -175,11 +175,16 @@ def document_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.vocabulary(typeset(docs(spark, sf_dir)))
 
 
-@query(rf"""WITH lines AS ({LINES}), w AS (SELECT doc_id, {WORDS} AS w FROM lines), i AS (SELECT doc_id, unnest(w[2:len(w) - 1]) AS w FROM w WHERE len(w) >= 3), v AS (SELECT doc_id, lower(w) AS word, count(*) AS n FROM i WHERE regexp_full_match(w, '[\p{{L}}-]+') GROUP BY ALL),
-  n AS (SELECT doc_id, ord, text, lead(text) OVER (PARTITION BY doc_id, page ORDER BY ord) AS nx FROM lines),
-  s AS (SELECT doc_id, ord, ({WORDS})[-1] AS head, ({WORDS.replace("text", "nx")})[1] AS tail FROM n),
-  m AS (SELECT *, lower(head || tail) AS merged FROM s WHERE regexp_full_match(head, '[\p{{L}}-]+') AND regexp_full_match(tail, '[\p{{L}}-]+') AND length(tail) >= 2 AND NOT regexp_matches(tail, '^\p{{Lu}}') AND length(head || tail) >= 6 AND replace(tail, '-', '') <> '')
+_CUT = "SELECT doc_id, 0 AS page, k::INT AS ord, substr(t, k * 60 + 1, 60) AS text FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t, unnest(range((length(text) + 59) // 60)) AS k FROM documents)"
+
+
+@query(rf"""WITH lines AS MATERIALIZED ({_CUT}), ws AS MATERIALIZED (SELECT doc_id, ord, {WORDS} AS w FROM lines), i AS (SELECT doc_id, unnest(w[2:len(w) - 1]) AS w FROM ws WHERE len(w) >= 3), v AS MATERIALIZED (SELECT doc_id, lower(w) AS word, count(*) AS n FROM i WHERE regexp_full_match(w, '[\p{{L}}-]+') GROUP BY ALL),
+  s AS (SELECT doc_id, ord, w[-1] AS head, lead(w) OVER (PARTITION BY doc_id ORDER BY ord) AS nx FROM ws), t AS (SELECT doc_id, ord, head, nx[1] AS tail FROM s),
+  m AS MATERIALIZED (SELECT *, lower(head || tail) AS merged FROM t WHERE regexp_full_match(head, '[\p{{L}}-]+') AND regexp_full_match(tail, '[\p{{L}}-]+') AND length(tail) >= 2 AND NOT regexp_matches(tail, '^\p{{Lu}}') AND length(head || tail) >= 6 AND replace(tail, '-', '') <> '')
 SELECT m.doc_id, ord, head, tail, merged, coalesce(a.n, 0) > 0 AND coalesce(a.n, 0) >= greatest(coalesce(b.n, 0) * 2, 1) AS joins FROM m LEFT JOIN v a ON a.doc_id = m.doc_id AND a.word = merged LEFT JOIN v b ON b.doc_id = m.doc_id AND b.word = lower(tail)""")
 def word_rejoining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = typeset(docs(spark, sf_dir))
+    """Texts cut into lines of sixty characters, within words as well."""
+    whole = docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"))
+    cut = whole.filter("length(t) > 0").select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.ceil(F.length("t") / 60).cast("int") - 1)).alias("ord"))
+    lines = cut.select("doc_id", F.lit(0).alias("page"), "ord", F.substring("t", F.col("ord") * 60 + 1, F.lit(60)).alias("text"))
     return V.rejoin_candidates(lines, V.vocabulary(lines))

@@ -52,8 +52,14 @@ def images(documents: DataFrame) -> DataFrame:
 def scanned(documents: DataFrame) -> DataFrame:
     """``doc_id, scanned``: whether most pages are an image without glyphs."""
     big = F.exists("p.images", lambda i: G.width(i["bbox"]) * G.height(i["bbox"]) > F.col("p.width") * F.col("p.height") * 0.5)
-    each = documents.select("doc_id", F.explode("pages").alias("p")).select("doc_id", ((F.size("p.glyphs") <= 0) & F.coalesce(big, F.lit(False))).cast("int").alias("s"))
-    return each.groupBy("doc_id").agg((F.sum("s") * 2 > F.count(F.lit(1))).alias("scanned"))
+    each = documents.select("doc_id", F.explode("pages").alias("p")).select("doc_id", ((F.size("p.glyphs") <= 0) & F.coalesce(big, F.lit(False))).alias("s"))
+    return mostly_scanned(each).select("doc_id", "scanned")
+
+
+def mostly_scanned(pages: DataFrame) -> DataFrame:
+    """``doc_id, n, pages, scanned`` of pages ``doc_id, s``: whether more than half are images."""
+    n = F.sum(F.col("s").cast("long"))
+    return pages.groupBy("doc_id").agg(n.alias("n"), F.count(F.lit(1)).alias("pages"), (n * 2 > F.count(F.lit(1))).alias("scanned"))
 
 
 def font_report(glyph_rows: DataFrame, most: int = 12) -> DataFrame:
