@@ -161,14 +161,14 @@ def primitives_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(fixtures.known("doc_id long, ord int, type string, text string, page int, label string", [
-    (1, 0, "paragraph", "As [[1](#ref-1), [3](#ref-3)] and [4] say.", 0, ""), (1, 1, "heading", "References", 1, ""), (1, 2, "reference", "[1] A. Author, B. Writer. A first work. 2001.", 1, "1"), (1, 3, "reference", "[2] C. Third. Another work of note. 2002.", 1, "2"),
-    (1, 4, "reference", "[3] D. Fourth. The last one. 2003.", 1, "3"), (1, 5, "heading", "Appendix", 2, ""), (2, 0, "paragraph", "No references [1].", 0, ""),
+    (1, 0, "paragraph", "As [[1](#ref-1), [3](#ref-3)] and [4] say.", 0, None), (1, 1, "heading", "References", 1, None), (1, 2, "reference", "[1] A. Author, B. Writer. A first work. 2001.", 1, "1"), (1, 3, "reference", "[2] C. Third. Another work of note. 2002.", 1, "2"),
+    (1, 4, "reference", "[3] D. Fourth. The last one. 2003.", 1, "3"), (1, 5, "heading", "Appendix", 2, None), (2, 0, "paragraph", "No references [1].", 0, None),
 ]))
 def bibliography_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries of the fixture as a paragraph after its heading, split, parsed and linked."""
     run = " ".join(f"[{k}] {t}" for k, t in enumerate(("A. Author, B. Writer. A first work. 2001.", "C. Third. Another work of note. 2002.", "D. Fourth. The last one. 2003."), 1))
     rows = [(1, 0, "paragraph", None, None, "As [1, 3] and [4] say.", 0, 10.0), (1, 1, "heading", 1, None, "References", 1, 12.0), (1, 2, "paragraph", None, None, run, 1, 10.0), (1, 3, "heading", 1, None, "Appendix", 2, 12.0), (2, 0, "paragraph", None, None, "No references [1].", 0, 10.0)]
-    return B.extract_bibliography(spark.createDataFrame(rows, "doc_id long, ord int, type string, level int, ordered boolean, text string, page int, size float")).select("doc_id", "ord", "type", "text", "page", F.coalesce("label", F.lit("")).alias("label"))
+    return B.extract_bibliography(spark.createDataFrame(rows, "doc_id long, ord int, type string, level int, ordered boolean, text string, page int, size float")).select("doc_id", "ord", "type", "text", "page", "label")
 
 
 @query(fixtures.known("doc_id long, ord int, type string, text string, y0 double", [(1, 0, "paragraph", "above it all there is a text of more than twelve words, which stays where it is", 50.0), (1, 1, "figure", "Figure 1: a plot", 230.0), (1, 2, "paragraph", "below", 300.0), (1, 3, "figure", "", 500.0)]))

@@ -162,7 +162,7 @@ def linked_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, "citations").select("id", R.link_citations(F.col("text"), F.array(*map(F.lit, ("1", "2", "3")))).alias("linked"))
 
 
-@query("SELECT * FROM (VALUES (0, '[1] Y. Bengio, P. Simard, and P. Frasconi. Learning long-term dependencies is hard. IEEE TNN, 5(2):157-166, 1994.'), (1, '[2] Clark, K., Luong, M., and Manning, C. (2019). What does attention look at? arXiv:1906.04341.'), (2, '[3] Documenta Math. 26 (2021), 1851–1869.')) v(\"at\", entry)")
+@query("SELECT * FROM (VALUES (0, '[1] A. Baker, C. D. Dole, and E. Fisk. On the persistence of hidden states. Letters on Networks, 5(2):157-166, 1994.'), (1, '[2] Adler, K., Loos, M., and Mann, C. (2019). Where do readers look first? arXiv:1907.01234.'), (2, '[3] Fundamenta Arithm. 31 (2019), 1822–1840.')) v(\"at\", entry)")
 def split_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All entries of the fixture run together and split again."""
     whole = fixtures.table(spark, "refs").filter("entry_id IN (1, 2, 3)").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_id", "text"))), lambda e: F.concat(F.lit("["), e["entry_id"].cast("string"), F.lit("] "), F.regexp_replace(e["text"], r"^(\[[0-9]+\]|[0-9]+\.)\s*", ""))), " ").alias("t"))
