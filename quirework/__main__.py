@@ -1,6 +1,7 @@
-"""Command line: ``python -m quirework convert|text|probe|dump PATH [--out FOLDER] [--format md] [--caveman light]``.
+"""Command line: ``python -m quirework convert|text|probe|dump PATH [--out FOLDER] [--files] [--format md] [--caveman light]``.
 
-PATH has JSON primitives (``*.json``, files or folders of them), or Parquet pages (``page_id, html``).
+PATH has PDF files (``*.pdf``, or a folder of them), JSON primitives (``*.json``, files or folders of them), or Parquet
+pages (``page_id, html``).
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 
 from quirework import reach
 from quirework.operators.page import build_lines
-from quirework.plans.convert import blocks_of_primitives, convert, write
+from quirework.plans.convert import blocks_of_primitives, convert, write, write_files
 from quirework.sources import adapters
 from quirework.sources import primitives as P
+from quirework.sources.pdf import read_pdfs
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,6 +27,9 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--out", help="folder to write to; without it, results are printed")
     out.add_argument("--format", default="md", choices=("md", "json", "typst", "text"))
     out.add_argument("--caveman", nargs="?", const="light", choices=("light", "hard", "off", "none"), help="compress prose; light if no level is named")
+    out.add_argument("--files", action="store_true", help="with --out, a file for each document instead of a table")
+    out.add_argument("--pdf", action="store_true", help="PATH is a folder of PDF files")
+    out.add_argument("--password", default="", help="of PDF files")
     out.add_argument("--page", type=int, help="a single page, for text and dump")
     return out
 
@@ -36,6 +41,8 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
             raise ValueError("Parquet pages have no primitives; they can be converted")
         return convert(adapters.html_blocks(spark.read.parquet(args.path)), args.format, args.caveman)
     documents = P.read_json(spark, args.path)
+    if args.path.rstrip("/").endswith(".pdf") or args.pdf:
+        documents = read_pdfs(spark, args.path, args.password).filter("error IS NULL")
     glyphs, pages = P.glyphs(documents), P.pages(documents)
     one = F.lit(True) if args.page is None else F.col("page") == args.page
     if args.command == "convert":
@@ -52,6 +59,9 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = reach(SparkSession.builder.appName("quirework").getOrCreate())
     df = result(spark, args)
+    if args.out and args.files and args.command == "convert":
+        write_files(df, args.out, args.format)
+        return 0
     if args.out:
         write(df, args.out, args.format)
         return 0

@@ -18,6 +18,9 @@ the entries that cannot reach the threshold.
 5. Surviving entries are gathered into row blocks (by the partner with which a row shares most, so that a
    group of near copies is one block; large groups are cut into several), and the whole rows of A, sent
    once to each block that needs them, give exact overlaps.  An overlap below t/(1+t)·(m₁+m₂) is dropped.
+   Where only groups are asked for, each row is first compared with the least row that has one of its three least
+   n-grams.  Rows that such links join need no entries between each other, and lists of theirs alone are skipped:
+   a group of copies then gives about as many entries as it has rows, and no link between groups is lost.
 6. A row block gives links counted by document and a spanning forest of its links, not the links themselves, so
    that what leaves it is linear in its documents.  Components of the forests are the classes.
 
@@ -42,6 +45,9 @@ from pyspark.sql import functions as F
 from quirework.llm.common import BASE, KEY, Packed, discard, documents, key_bytes, mix64, part_of, parts, rolling, sieve, sifted, slices, text_keys, word_hashes, written
 
 POSTINGS = Packed(keys=np.uint64, sizes=np.uint32, last=np.uint32, slack=np.uint32, which=np.uint32, gram=np.uint32)
+#: A row for some n-grams that it has; and rows that are joined already, by a common label.
+STARS = Packed(gram=np.uint64, key=np.uint64)
+LABELS = Packed(keys=np.uint64, label=np.uint64)
 ENTRIES = Packed(keys=np.uint64, sizes=np.uint32, last=np.uint32, slack=np.uint32, row=np.uint32, col=np.uint32, votes=np.uint32)
 _CHUNK = 22  # log2 of the counters that the sketch has
 #: Shuffle partitions for one column block: in a larger block more of what two documents share is one entry.
@@ -200,43 +206,65 @@ def _possible(votes: np.ndarray, m: np.ndarray, last: np.ndarray, slack: np.ndar
     return (votes + np.minimum(slack[row], slack[col]) + behind) * (1 + threshold) >= threshold * (m[row] + m[col]) - 1e-9
 
 
-def _block_entries(postings: DataFrame, threshold: float, blocks: int) -> DataFrame:
-    """The entries of the product that a column block gives, by row."""
+def _block_entries(postings: DataFrame, threshold: float, blocks: int, labels: DataFrame | None = None) -> DataFrame:
+    """The entries of the product that a column block gives, by row.
 
-    def multiply(table: pa.Table) -> pa.Table:
+    labels (``LABELS``, packed for every block): rows with one label are joined already, and give no entries.
+    """
+
+    def multiply(table: pa.Table, known: pa.Table | None = None) -> pa.Table:
         rows = POSTINGS.rows(table)
-        own = np.concatenate([r["keys"] for r in rows])
+        own = np.concatenate([r["keys"] for r in rows] or [np.zeros(0, np.uint64)])
         keys, first, local = np.unique(own, return_index=True, return_inverse=True)
-        sizes = np.concatenate([r["sizes"] for r in rows])[first].astype(np.float64)
-        last, slack = (np.concatenate([r[k] for r in rows])[first] for k in ("last", "slack"))
+        sizes, last, slack = (np.concatenate([r[k] for r in rows] or [np.zeros(0, np.uint32)])[first] for k in ("sizes", "last", "slack"))
+        sizes = sizes.astype(np.float64)
         begin = np.cumsum([0, *(len(r["keys"]) for r in rows)])
-        doc = np.concatenate([local[b + r["which"].astype(np.int64)] for b, r in zip(begin, rows, strict=False)])
-        cell = np.unique(np.concatenate([r["gram"] for r in rows]).astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64))
+        doc = np.concatenate([local[b + r["which"].astype(np.int64)] for b, r in zip(begin, rows, strict=False)] or [np.zeros(0, np.int64)])
+        cell = np.unique(np.concatenate([r["gram"] for r in rows] or [np.zeros(0, np.uint32)]).astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64))
         gram, doc = cell >> np.uint64(32), (cell & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        label = keys.copy()
+        if known is not None:
+            x = LABELS.joined(known)
+            at = np.searchsorted(keys, x["keys"])
+            there = np.flatnonzero(at < len(keys))
+            there = there[keys[at[there]] == x["keys"][there]]
+            label[at[there]] = x["label"][there]
         start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+        if len(gram):
+            # posting lists of rows that are all joined already give nothing
+            own = label[doc]
+            mixed = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
+            stay = np.repeat(mixed, np.diff(np.r_[start, len(gram)]))
+            gram, doc = gram[stay], doc[stay]
+            start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
         before = np.arange(len(gram)) - np.repeat(start, np.diff(np.r_[start, len(gram)]))
         some = np.flatnonzero(before)
-        total, pairs, i = np.cumsum(before[some]), [], 0
+        # row by row, so that what a chunk of whole rows gives is final
+        some = some[np.argsort(doc[some], kind="stable")]
+        ends = np.r_[np.flatnonzero(np.diff(doc[some])) + 1, len(some)] if len(some) else np.zeros(0, np.int64)
+        total, found, i = np.r_[0, np.cumsum(before[some])], [(np.zeros(0, np.uint32),) * 3], 0
         while i < len(some):
-            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 19), side="right")))
+            # as many whole rows as make half a million pairs, one at least
+            k = max(np.searchsorted(total[ends], total[i] + (1 << 19), side="right") - 1, np.searchsorted(ends, i, side="right"))
+            j = int(ends[k])
             at = some[i:j]
             right = np.repeat(at, before[at])
-            left = np.repeat(at - before[at], before[at]) + np.arange(len(right)) - np.repeat(np.cumsum(before[at]) - before[at], before[at])
+            left = right - 1 - (np.arange(len(right)) - np.repeat(np.cumsum(before[at]) - before[at], before[at]))
             a, b = doc[left], doc[right]
-            near = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
-            pairs.append(np.unique(b[near].astype(np.uint64) << np.uint64(32) | a[near].astype(np.uint64), return_counts=True))
-            if len(pairs) > 8:
-                pairs = [_added(pairs)]
+            near = (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9) & (label[a] != label[b])
+            pair, votes = np.unique(b[near].astype(np.uint64) << np.uint64(32) | a[near].astype(np.uint64), return_counts=True)
+            found.append(((pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32), votes.astype(np.uint32)))
             i = j
-        pair, votes = _added(pairs)
-        row, col = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        row, col, votes = (np.concatenate(c) for c in zip(*found, strict=True))
         out = []
         for p, x in ENTRIES.split(part_of(keys[row], blocks), row=row, col=col, votes=votes):
             there, at = np.unique(np.concatenate([x["row"], x["col"]]), return_inverse=True)
             out.append((p, {"keys": keys[there], "sizes": sizes[there], "last": last[there], "slack": slack[there], "votes": x["votes"], "row": at[: len(x["row"])], "col": at[len(x["row"]) :]}))
         return pa.Table.from_batches([ENTRIES.batch(out)])
 
-    return postings.groupBy("part").applyInArrow(multiply, ENTRIES.schema)
+    if labels is None:
+        return postings.groupBy("part").applyInArrow(lambda table: multiply(table), ENTRIES.schema)
+    return postings.groupBy("part").cogroup(labels.groupBy("part")).applyInArrow(lambda left, right: multiply(left, right), ENTRIES.schema)
 
 
 def _row_blocks(entries: DataFrame, threshold: float, rows_each: int) -> DataFrame:
@@ -363,12 +391,20 @@ def _joined(docs: DataFrame, n: int, threshold: float, rows_each: int, what: str
     membership = written(text_classes(docs).distinct(), "membership")
     classes = written(membership.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     clashes = _clashes(classes)
-    entries = _block_entries(_postings(docs, n, threshold, bits, clashes), threshold, 1 << bits)
     rows = classes.select("rep", "n", F.substring("key", 1, 8).alias("a"), F.substring("key", 9, 8).alias("b")).mapInArrow(_named(clashes), "row long, doc_id long, n long")
+    first = labels = None
+    if what == "forest":
+        rows = written(rows, "rows")
+        first = _first_links(docs, n, threshold, parts(spark), rows, clashes, rows_each)
+        labels = _packed_labels(written(connected_components(first), "first-groups"), rows, 1 << bits)
+    entries = _block_entries(_postings(docs, n, threshold, bits, clashes), threshold, 1 << bits, labels)
     needs = written(_row_blocks(entries, threshold, rows_each).join(rows, "row").select("row", "block", "cols", "n", "doc_id"), "row-blocks")
     texts = sifted(docs.select("doc_id", "text"), sieve(needs.select("doc_id")))
     needed = needs.join(texts, "doc_id").select("row", "block", "cols", "n", "doc_id", "text")
-    return membership, classes, written(_multiply_rows(needed, n, threshold, clashes, what), what)
+    found = _multiply_rows(needed, n, threshold, clashes, what)
+    if first is not None:
+        found = found.unionByName(first, allowMissingColumns=True)
+    return membership, classes, written(found, what)
 
 
 def _named(clashes: np.ndarray):  # noqa: ANN202
@@ -384,6 +420,67 @@ def _named(clashes: np.ndarray):  # noqa: ANN202
     return run
 
 
+def _first_links(docs: DataFrame, n: int, threshold: float, blocks: int, rows: DataFrame, clashes: np.ndarray, rows_each: int, least: int = 3) -> DataFrame:
+    """Links ``a, b`` of representatives that are likely, and verified: a start for groups, so that these need not give all their pairs.
+
+    Each row is compared with the least row that has one of its ``least`` least n-grams: a star of each.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for i, j in slices(texts):
+                h, offsets = word_hashes(texts.slice(i, j - i))
+                own = _row_names(text_keys(h, offsets), clashes)
+                found = [g[:least] for g in _grams(h, offsets, n)]
+                gram = np.concatenate(found)
+                key = np.repeat(own, [len(g) for g in found])
+                if len(gram):
+                    yield STARS.batch(STARS.split(part_of(mix64(gram), blocks), gram=gram, key=key))
+
+    def stars(table: pa.Table) -> pa.Table:
+        x = STARS.joined(table)
+        order = np.lexsort((x["key"], x["gram"]))
+        gram, key = x["gram"][order], x["key"][order]
+        start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+        centre = np.repeat(key[start], np.diff(np.r_[start, len(gram)]))
+        some = np.unique(np.stack([key, centre], 1)[key != centre], axis=0)
+        return pa.table({"row": pa.array(some[:, 0].view(np.int64)), "centre": pa.array(some[:, 1].view(np.int64))})
+
+    pairs = docs.select("text").mapInArrow(emit, STARS.schema).groupBy("part").applyInArrow(stars, "row long, centre long").distinct()
+    # a centre may have any number of rows: they are cut into pieces of about rows_each
+    size = written(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")), "stars")
+    cut = _with_classes(pairs, size, "centre", [F.col("n").alias("size")])
+    piece = F.xxhash64("centre", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / rows_each).cast("int")))
+    placed = cut.select("row", "centre", piece.alias("block"))
+    asked = placed.mapInArrow(_with_cols, "row long, block long, cols binary")
+    needed = asked.unionByName(placed.select(F.col("centre").alias("row"), "block", F.lit(None).cast("binary").alias("cols")))
+    needs = written(needed.groupBy("row", "block").agg(F.max("cols").alias("cols")).join(rows, "row").select("row", "block", "cols", "n", "doc_id"), "star-blocks")
+    texts = sifted(docs.select("doc_id", "text"), sieve(needs.select("doc_id")))
+    found = _multiply_rows(needs.join(texts, "doc_id").select("row", "block", "cols", "n", "doc_id", "text"), n, threshold, clashes, "forest")
+    return written(found.filter("a <> b").select("a", "b"), "first-links")
+
+
+def _with_cols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``row, centre, block`` with their centre as what they are compared with."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("block"), pa.array([c.to_bytes(8, "little", signed=True) for c in batch.column("centre").to_pylist()], pa.binary())], ["row", "block", "cols"])
+
+
+def _packed_labels(labels: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
+    """Labels (``node, component``) of rows, for every column block."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = {"keys": batch.column("row").to_numpy().view(np.uint64), "label": batch.column("label").to_numpy().view(np.uint64)}
+                packed = LABELS.batch([(0, x)])
+                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), *(pa.array([packed.column(k)[0].as_py()] * blocks, pa.binary()) for k in (1, 2))], ["part", "keys", "label"])
+
+    named = rows.join(labels, rows["doc_id"] == labels["node"]).select("row", F.col("component").alias("label"))
+    return named.mapInArrow(pack, LABELS.schema)
+
+
 def class_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, rows_each: int = 256) -> tuple[DataFrame, DataFrame]:
     """Membership of every document (``doc_id, rep``: the least identifier with its word sequence), and the pairs of representatives that reach the threshold (``a, b, overlap, either``)."""
     membership, classes, pairs = _joined(docs, n, threshold, rows_each, "pairs")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +67,28 @@ def convert(blocks: DataFrame, to: str = "md", caveman: str | None = None) -> Da
 def write(rendered: DataFrame, folder: str, to: str = "md") -> None:
     """One Parquet table of rendered documents; files of one document each are a matter of ``doc_id`` partitions."""
     rendered.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{to}")
+
+
+#: Endings of files by format.
+ENDINGS = {"md": "md", "typst": "typ", "text": "txt", "json": "json"}
+
+
+def write_files(rendered: DataFrame, folder: str, to: str = "md") -> int:
+    """A file ``<doc_id>.<ending>`` for each document, in a folder that all executors share; gives their number.
+
+    A file takes its name once it is complete, so that a repeated task replaces it as a whole.
+    """
+    ending = ENDINGS[to]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:/") else Path(folder).absolute().as_uri())
+        fs.create_dir(root, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("rendered").to_pylist(), strict=True):
+                with fs.open_output_stream(part := f"{root}/.{doc}.{attempt}") as f:
+                    f.write((text or "").encode())
+                fs.move(part, f"{root}/{doc}.{ending}")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64())], ["doc_id"])
+
+    return rendered.select("doc_id", "rendered").mapInArrow(run, "doc_id long").count()
