@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirework.functions import text as X
 
@@ -123,9 +127,28 @@ def to_text(blocks: DataFrame) -> DataFrame:
     return _render(blocks, text_block())
 
 
+@F.pandas_udf(T.StringType())
+def outline(sections: pd.Series) -> pd.Series:
+    """Sections (``start, end, level, title, parent, first_page, last_page``) as JSON, each with its ``children``."""
+
+    def nested(rows: list[dict] | None) -> str:
+        top: list[dict] = []
+        held: dict[int, list[dict]] = {}
+        for r in sorted(rows if rows is not None else [], key=lambda r: (r["start"], r["level"])):
+            node = {k: r[k] for k in ("title", "level", "start", "end", "first_page", "last_page") if k != "title" or r[k] is not None} | {"children": []}
+            held.get(r["parent"], top).append(node) if r["parent"] is not None else top.append(node)
+            if r["level"]:
+                held[r["start"]] = node["children"]
+        return json.dumps(top, ensure_ascii=False, separators=(",", ":"))
+
+    return sections.map(nested)
+
+
 def to_json(blocks: DataFrame, sections: DataFrame) -> DataFrame:
-    """``doc_id, title, document``: title, blocks and the flat outline as JSON without null fields."""
+    """``doc_id, title, document``: title, blocks and the nested outline as JSON without null fields."""
     fields = [c for c in blocks.columns if c != "doc_id"]
     b = blocks.groupBy("doc_id").agg(F.min_by(F.when(F.col("type") == "title", F.col("text")), F.when(F.col("type") == "title", F.col("ord"))).alias("title"), F.array_sort(F.collect_list(F.struct("ord", *(f for f in fields if f != "ord")))).alias("blocks"))
-    s = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "level", "title", "parent", "first_page", "last_page"))).alias("sections"))
-    return b.join(s, "doc_id", "left").select("doc_id", "title", F.to_json(F.struct("title", "blocks", "sections")).alias("document"))
+    s = sections.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "level", "title", "parent", "first_page", "last_page")).alias("sections"))
+    flat = F.to_json(F.struct("title", "blocks"))
+    whole = F.concat(F.substring(flat, F.lit(1), F.length(flat) - 1), F.lit(',"sections":'), F.coalesce(outline("sections"), F.lit("[]")), F.lit("}"))
+    return b.join(s, "doc_id", "left").select("doc_id", "title", whole.alias("document"))

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from quirework.operators import columns as K
 from quirework.operators import furniture as N
 from quirework.operators import paper
+from quirework.operators import render as E
+from quirework.operators import sections as S
 from quirework.operators import stats as T
 from quirework.plans.convert import blocks_of_primitives, convert
+from quirework.plans import fixtures
 from quirework.plans.fixtures import known
 from quirework.sources import primitives as R
 from quirework.sources.pdf import parse_pdfs
@@ -288,3 +291,13 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.createDataFrame([(k, f"{k}.pdf", bytearray(x)) for k, x in enumerate(_FILES, 1)], "doc_id long, path string, content binary")
     p = F.try_element_at("pages", F.lit(1))
     return parse_pdfs(files).select("doc_id", p["width"].cast("double").alias("width"), p["height"].cast("double").alias("height"), F.coalesce(F.array_join(F.transform(p["glyphs"], lambda g: g["text"]), ""), F.lit("")).alias("words"), F.coalesce(F.array_join(F.transform(p["paths"], lambda x: x["kind"]), ","), F.lit("")).alias("kinds"), F.coalesce(F.size(p["images"]), F.lit(0)).alias("n_images"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query("doc_id long, title string, sections string", [
+    (1, "A study", '[{"level":0,"start":0,"end":2,"first_page":0,"last_page":0,"children":[]},{"title":"1 Introduction","level":1,"start":2,"end":10,"first_page":0,"last_page":1,"children":[{"title":"1.1 Detail","level":2,"start":5,"end":10,"first_page":1,"last_page":1,"children":[]}]},{"title":"2 End","level":1,"start":10,"end":14,"first_page":2,"last_page":2,"children":[]}]'),
+    (2, None, '[{"level":0,"start":0,"end":1,"first_page":0,"last_page":0,"children":[]}]'),
+])
+def nested_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outline of blocks within their JSON: front matter, sections and what is below them."""
+    blocks = fixtures.table(spark, "blocks").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return E.to_json(blocks, S.sections(blocks)).select("doc_id", "title", F.regexp_extract("document", r'"sections":(.*)\}$', 1).alias("sections"))
