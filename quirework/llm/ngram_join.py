@@ -45,8 +45,7 @@ from pyspark.sql import functions as F
 from quirework.llm.common import BASE, KEY, Packed, discard, documents, key_bytes, mix64, part_of, parts, rolling, sieve, sifted, slices, text_keys, word_hashes, written
 
 POSTINGS = Packed(keys=np.uint64, sizes=np.uint32, last=np.uint32, slack=np.uint32, which=np.uint32, gram=np.uint32)
-#: A row for some n-grams that it has; and rows that are joined already, by a common label.
-STARS = Packed(gram=np.uint64, key=np.uint64)
+#: Rows that are joined already, by a common label.
 LABELS = Packed(keys=np.uint64, label=np.uint64)
 ENTRIES = Packed(keys=np.uint64, sizes=np.uint32, last=np.uint32, slack=np.uint32, row=np.uint32, col=np.uint32, votes=np.uint32)
 _CHUNK = 22  # log2 of the counters that the sketch has
@@ -283,7 +282,7 @@ def _row_blocks(entries: DataFrame, threshold: float, rows_each: int) -> DataFra
         row, col, votes = row[some], col[some], votes[some]
         start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
         out_key, out_block, out_cols, needs = [], [], [], {}
-        for a, b in zip(start, np.r_[start[1:], len(row)], strict=True):
+        for a, b in zip(start, np.r_[start[1:], len(row)][: len(start)], strict=True):
             cols, v = col[a:b], votes[a:b]
             label = keys[cols[v * 2 >= v.max()].min(keepdims=True)]
             cuts = np.array([1 << max(0, math.ceil(math.log2((b - a) / rows_each)))], np.uint64)
@@ -395,7 +394,7 @@ def _joined(docs: DataFrame, n: int, threshold: float, rows_each: int, what: str
     first = labels = None
     if what == "forest":
         rows = written(rows, "rows")
-        first = _first_links(docs, n, threshold, parts(spark), rows, clashes, rows_each)
+        first = _first_links(docs, n, threshold, rows, clashes, rows_each)
         labels = _packed_labels(written(connected_components(first), "first-groups"), rows, 1 << bits)
     entries = _block_entries(_postings(docs, n, threshold, bits, clashes), threshold, 1 << bits, labels)
     needs = written(_row_blocks(entries, threshold, rows_each).join(rows, "row").select("row", "block", "cols", "n", "doc_id"), "row-blocks")
@@ -420,7 +419,7 @@ def _named(clashes: np.ndarray):  # noqa: ANN202
     return run
 
 
-def _first_links(docs: DataFrame, n: int, threshold: float, blocks: int, rows: DataFrame, clashes: np.ndarray, rows_each: int, least: int = 3) -> DataFrame:
+def _first_links(docs: DataFrame, n: int, threshold: float, rows: DataFrame, clashes: np.ndarray, rows_each: int, least: int = 3) -> DataFrame:
     """Links ``a, b`` of representatives that are likely, and verified: a start for groups, so that these need not give all their pairs.
 
     Each row is compared with the least row that has one of its ``least`` least n-grams: a star of each.
@@ -435,19 +434,12 @@ def _first_links(docs: DataFrame, n: int, threshold: float, blocks: int, rows: D
                 found = [g[:least] for g in _grams(h, offsets, n)]
                 gram = np.concatenate(found)
                 key = np.repeat(own, [len(g) for g in found])
-                if len(gram):
-                    yield STARS.batch(STARS.split(part_of(mix64(gram), blocks), gram=gram, key=key))
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(key.view(np.int64))], ["gram", "row"])
 
-    def stars(table: pa.Table) -> pa.Table:
-        x = STARS.joined(table)
-        order = np.lexsort((x["key"], x["gram"]))
-        gram, key = x["gram"][order], x["key"][order]
-        start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-        centre = np.repeat(key[start], np.diff(np.r_[start, len(gram)]))
-        some = np.unique(np.stack([key, centre], 1)[key != centre], axis=0)
-        return pa.table({"row": pa.array(some[:, 0].view(np.int64)), "centre": pa.array(some[:, 1].view(np.int64))})
-
-    pairs = docs.select("text").mapInArrow(emit, STARS.schema).groupBy("part").applyInArrow(stars, "row long, centre long").distinct()
+    some = written(docs.select("text").mapInArrow(emit, "gram long, row long"), "least-grams")
+    # an n-gram may be in any share of the documents: its least row is an aggregate, and what has it is joined as hot keys are
+    centres = written(some.groupBy("gram").agg(F.min("row").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "centres")
+    pairs = _with_classes(some, centres, "gram", ["centre"]).filter("row <> centre").select("row", "centre").distinct()
     # a centre may have any number of rows: they are cut into pieces of about rows_each
     size = written(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")), "stars")
     cut = _with_classes(pairs, size, "centre", [F.col("n").alias("size")])

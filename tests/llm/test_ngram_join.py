@@ -118,6 +118,15 @@ def test_rows_that_share_half_a_key(spark, monkeypatch):
     assert {(a, b): j for a, b, j in every_pair(df, 3, 0.5)} == brute(docs, 3, 0.5)
 
 
+def test_candidates_that_all_fail(spark):
+    """Documents that share n-grams, none of them enough: every block is left without entries."""
+    rng = random.Random(11)
+    shared = prose(rng, 6)
+    docs = [(i, f"{prose(rng, 12)} {shared} {prose(rng, 12)}") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert ngram_jaccard_join(df, 3, 0.5).count() == 0 and near_groups(df).count() == 0 and drop_near_copies(df).count() == 40
+
+
 def test_components_of_paths(spark):
     rng = random.Random(0)
     nodes = list(range(60))
