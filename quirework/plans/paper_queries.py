@@ -285,12 +285,12 @@ _FILES = [
 ]
 
 
-@query("doc_id long, width double, height double, words string, kinds string, n_images int, error string", [(1, 612.0, 792.0, "Plain", "hrule,vrule,box", 0, ""), (2, 792.0, 612.0, "Turned", "", 0, ""), (3, None, None, "", "", 0, "no PDF file"), (4, 612.0, 792.0, "", "", 1, "")])
+@query("doc_id long, width double, height double, words string, kinds string, n_images int, error string", [(1, 612.0, 792.0, "Plain", "hrule,vrule,box", 0, ""), (2, 792.0, 612.0, "Turned", "", 0, ""), (3, 0.0, 0.0, "", "", 0, "no PDF file"), (4, 612.0, 792.0, "", "", 1, "")])
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of one page: text, rules and boxes, a turned page, an image, and bytes that are no file."""
     files = spark.createDataFrame([(k, f"{k}.pdf", bytearray(x)) for k, x in enumerate(_FILES, 1)], "doc_id long, path string, content binary")
     p = F.try_element_at("pages", F.lit(1))
-    return parse_pdfs(files).select("doc_id", p["width"].cast("double").alias("width"), p["height"].cast("double").alias("height"), F.coalesce(F.array_join(F.transform(p["glyphs"], lambda g: g["text"]), ""), F.lit("")).alias("words"), F.coalesce(F.array_join(F.transform(p["paths"], lambda x: x["kind"]), ","), F.lit("")).alias("kinds"), F.coalesce(F.size(p["images"]), F.lit(0)).alias("n_images"), F.coalesce("error", F.lit("")).alias("error"))
+    return parse_pdfs(files).select("doc_id", F.coalesce(p["width"].cast("double"), F.lit(0.0)).alias("width"), F.coalesce(p["height"].cast("double"), F.lit(0.0)).alias("height"), F.coalesce(F.array_join(F.transform(p["glyphs"], lambda g: g["text"]), ""), F.lit("")).alias("words"), F.coalesce(F.array_join(F.transform(p["paths"], lambda x: x["kind"]), ","), F.lit("")).alias("kinds"), F.coalesce(F.size(p["images"]), F.lit(0)).alias("n_images"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 @query("doc_id long, title string, sections string", [
