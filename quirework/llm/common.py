@@ -270,7 +270,7 @@ def sifted(docs: DataFrame, through: Sieve, inside: bool = True) -> DataFrame:
     return docs.mapInArrow(keep, docs.schema)
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> list[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 2 << 20) -> list[tuple[int, int]]:
     """Row ranges of at most so many bytes of text, one row at least: bounds the memory of array kernels."""
     sizes = np.cumsum(np.diff(text_bytes(texts)[1]))
     out, i = [], 0

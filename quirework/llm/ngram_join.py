@@ -18,9 +18,9 @@ the entries that cannot reach the threshold.
 5. Surviving entries are gathered into row blocks (by the partner with which a row shares most, so that a
    group of near copies is one block; large groups are cut into several), and the whole rows of A, sent
    once to each block that needs them, give exact overlaps.  An overlap below t/(1+t)·(m₁+m₂) is dropped.
-   Where only groups are asked for, each row is first compared with the least row that has one of its three least
-   n-grams.  Rows that such links join need no entries between each other, and lists of theirs alone are skipped:
-   a group of copies then gives about as many entries as it has rows, and no link between groups is lost.
+   Where only groups are asked for, each row is first compared with the least row that has its least n-gram.
+   Rows that such links join need no entries between each other, and lists of theirs alone are skipped: a group of
+   copies then gives about as many entries as it has rows, and no link between groups is lost.
 6. A row block gives links counted by document and a spanning forest of its links, not the links themselves, so
    that what leaves it is linear in its documents.  Components of the forests are the classes.
 
@@ -419,7 +419,7 @@ def _named(clashes: np.ndarray):  # noqa: ANN202
     return run
 
 
-def _first_links(docs: DataFrame, n: int, threshold: float, rows: DataFrame, clashes: np.ndarray, rows_each: int, least: int = 3) -> DataFrame:
+def _first_links(docs: DataFrame, n: int, threshold: float, rows: DataFrame, clashes: np.ndarray, rows_each: int, least: int = 1) -> DataFrame:
     """Links ``a, b`` of representatives that are likely, and verified: a start for groups, so that these need not give all their pairs.
 
     Each row is compared with the least row that has one of its ``least`` least n-grams: a star of each.
