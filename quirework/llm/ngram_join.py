@@ -18,9 +18,10 @@ the entries that cannot reach the threshold.
 5. Surviving entries are gathered into row blocks (by the partner with which a row shares most, so that a
    group of near copies is one block; large groups are cut into several), and the whole rows of A, sent
    once to each block that needs them, give exact overlaps.  An overlap below t/(1+t)·(m₁+m₂) is dropped.
-   Where only groups are asked for, each row is first compared with the least row that has its least n-gram.
-   Rows that such links join need no entries between each other, and lists of theirs alone are skipped: a group of
-   copies then gives about as many entries as it has rows, and no link between groups is lost.
+   Before all this, each row is compared with the least row that has one of its bands, i.e. pairs of least n-grams in
+   several orders.  Rows that such links join are of one group, and give no entries between each other, so that a
+   group of copies gives about as many entries as it has rows, and no link between groups is lost.  Where links are
+   counted, those within a group come from dense products of its incidence matrix, tile by tile.
 6. A row block gives links counted by document and a spanning forest of its links, not the links themselves, so
    that what leaves it is linear in its documents.  Components of the forests are the classes.
 
@@ -36,17 +37,27 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.common import BASE, KEY, Packed, discard, documents, key_bytes, mix64, part_of, parts, rolling, sieve, sifted, slices, text_keys, word_hashes, written
 
 POSTINGS = Packed(keys=np.uint64, sizes=np.uint32, last=np.uint32, slack=np.uint32, which=np.uint32, gram=np.uint32)
-#: Rows that are joined already, by a common label.
-LABELS = Packed(keys=np.uint64, label=np.uint64)
+#: So many rows that are joined already are broadcast with their labels (12 bytes each), those of the largest groups first.
+MOST_LABELS = 1 << 21
+#: Bands of each row, and the n-grams of a band.
+BANDS, BAND = 8, 2
+#: Entries of a column block that are kept before they are passed on.
+ENTRIES_AT_ONCE = 1 << 21
+#: A group is cut into pieces of about so many bytes of hashed n-grams and so many rows; a tile holds two of them.
+PIECE_BYTES, PIECE_ROWS = 8 << 20, 2048
+#: A column of a tile with at least this share of its cells is multiplied as a dense one.
+DENSE_SHARE = 1 / 64
 ENTRIES = Packed(keys=np.uint64, sizes=np.uint32, last=np.uint32, slack=np.uint32, row=np.uint32, col=np.uint32, votes=np.uint32)
 _CHUNK = 22  # log2 of the counters that the sketch has
 #: Shuffle partitions for one column block: in a larger block more of what two documents share is one entry.
@@ -205,65 +216,84 @@ def _possible(votes: np.ndarray, m: np.ndarray, last: np.ndarray, slack: np.ndar
     return (votes + np.minimum(slack[row], slack[col]) + behind) * (1 + threshold) >= threshold * (m[row] + m[col]) - 1e-9
 
 
-def _block_entries(postings: DataFrame, threshold: float, blocks: int, labels: DataFrame | None = None) -> DataFrame:
+class _Labels(NamedTuple):
+    """Rows that are joined already, ascending, and their groups."""
+
+    rows: Broadcast
+    groups: Broadcast
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The group of each key, or -1."""
+        rows, groups = self.rows.value, self.groups.value
+        if not len(rows):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(rows, keys), len(rows) - 1)
+        return np.where(rows[at] == keys, groups[at].astype(np.int64), -1)
+
+
+def _block_entries(postings: DataFrame, threshold: float, blocks: int, labels: _Labels | None = None) -> DataFrame:
     """The entries of the product that a column block gives, by row.
 
-    labels (``LABELS``, packed for every block): rows with one label are joined already, and give no entries.
+    labels: rows with one label are joined already, and give no entries.
     """
 
-    def multiply(table: pa.Table, known: pa.Table | None = None) -> pa.Table:
-        rows = POSTINGS.rows(table)
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in POSTINGS.rows(batch)]
         own = np.concatenate([r["keys"] for r in rows] or [np.zeros(0, np.uint64)])
-        keys, first, local = np.unique(own, return_index=True, return_inverse=True)
-        sizes, last, slack = (np.concatenate([r[k] for r in rows] or [np.zeros(0, np.uint32)])[first] for k in ("sizes", "last", "slack"))
+        keys, first = np.unique(own, return_index=True)
+        group = labels.of(keys) if labels is not None else np.full(len(keys), -1, np.int64)
+        # by group, those without one last, so that in a posting list the rows of a group are neighbours
+        order = np.lexsort((keys, np.where(group < 0, np.iinfo(np.int64).max, group)))
+        group, place = group[order], np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        local = place[np.searchsorted(keys, own)]
+        keys = keys[order]
+        sizes, last, slack = (np.concatenate([r[k] for r in rows] or [np.zeros(0, np.uint32)])[first][order] for k in ("sizes", "last", "slack"))
         sizes = sizes.astype(np.float64)
+        run = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (group[1:] < 0)][: len(group)])
         begin = np.cumsum([0, *(len(r["keys"]) for r in rows)])
         doc = np.concatenate([local[b + r["which"].astype(np.int64)] for b, r in zip(begin, rows, strict=False)] or [np.zeros(0, np.int64)])
         cell = np.unique(np.concatenate([r["gram"] for r in rows] or [np.zeros(0, np.uint32)]).astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64))
+        del rows, own, local
         gram, doc = cell >> np.uint64(32), (cell & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        label = keys.copy()
-        if known is not None:
-            x = LABELS.joined(known)
-            at = np.searchsorted(keys, x["keys"])
-            there = np.flatnonzero(at < len(keys))
-            there = there[keys[at[there]] == x["keys"][there]]
-            label[at[there]] = x["label"][there]
-        start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-        if len(gram):
-            # posting lists of rows that are all joined already give nothing
-            own = label[doc]
-            mixed = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
-            stay = np.repeat(mixed, np.diff(np.r_[start, len(gram)]))
-            gram, doc = gram[stay], doc[stay]
-            start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-        before = np.arange(len(gram)) - np.repeat(start, np.diff(np.r_[start, len(gram)]))
+        fresh = np.r_[True, gram[1:] != gram[:-1]][: len(gram)]
+        start = np.flatnonzero(fresh)
+        runs = np.flatnonzero(fresh | np.r_[True, run[doc[1:]] != run[doc[:-1]]][: len(gram)])
+        ends_at = np.repeat(runs, np.diff(np.r_[runs, len(gram)]))  # before it are the rows of the list that are of other groups
+        before = ends_at - np.repeat(start, np.diff(np.r_[start, len(gram)]))
         some = np.flatnonzero(before)
         # row by row, so that what a chunk of whole rows gives is final
         some = some[np.argsort(doc[some], kind="stable")]
         ends = np.r_[np.flatnonzero(np.diff(doc[some])) + 1, len(some)] if len(some) else np.zeros(0, np.int64)
-        total, found, i = np.r_[0, np.cumsum(before[some])], [(np.zeros(0, np.uint32),) * 3], 0
+
+        def passed_on(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            row, col, votes = (np.concatenate(c) for c in zip(*found, strict=True))
+            out = []
+            for p, x in ENTRIES.split(part_of(keys[row], blocks), row=row, col=col, votes=votes):
+                there, at = np.unique(np.concatenate([x["row"], x["col"]]), return_inverse=True)
+                out.append((p, {"keys": keys[there], "sizes": sizes[there], "last": last[there], "slack": slack[there], "votes": x["votes"], "row": at[: len(x["row"])], "col": at[len(x["row"]) :]}))
+            return ENTRIES.batch(out)
+
+        total, found, count, i = np.r_[0, np.cumsum(before[some])], [], 0, 0
         while i < len(some):
             # as many whole rows as make half a million pairs, one at least
             k = max(np.searchsorted(total[ends], total[i] + (1 << 19), side="right") - 1, np.searchsorted(ends, i, side="right"))
             j = int(ends[k])
             at = some[i:j]
             right = np.repeat(at, before[at])
-            left = right - 1 - (np.arange(len(right)) - np.repeat(np.cumsum(before[at]) - before[at], before[at]))
+            left = np.repeat(ends_at[at], before[at]) - 1 - (np.arange(len(right)) - np.repeat(np.cumsum(before[at]) - before[at], before[at]))
             a, b = doc[left], doc[right]
-            near = (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9) & (label[a] != label[b])
+            near = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
             pair, votes = np.unique(b[near].astype(np.uint64) << np.uint64(32) | a[near].astype(np.uint64), return_counts=True)
             found.append(((pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32), votes.astype(np.uint32)))
-            i = j
-        row, col, votes = (np.concatenate(c) for c in zip(*found, strict=True))
-        out = []
-        for p, x in ENTRIES.split(part_of(keys[row], blocks), row=row, col=col, votes=votes):
-            there, at = np.unique(np.concatenate([x["row"], x["col"]]), return_inverse=True)
-            out.append((p, {"keys": keys[there], "sizes": sizes[there], "last": last[there], "slack": slack[there], "votes": x["votes"], "row": at[: len(x["row"])], "col": at[len(x["row"]) :]}))
-        return pa.Table.from_batches([ENTRIES.batch(out)])
+            i, count = j, count + len(pair)
+            if count >= ENTRIES_AT_ONCE:
+                yield passed_on(found)
+                found, count = [], 0
+        if count:
+            yield passed_on(found)
 
-    if labels is None:
-        return postings.groupBy("part").applyInArrow(lambda table: multiply(table), ENTRIES.schema)
-    return postings.groupBy("part").cogroup(labels.groupBy("part")).applyInArrow(lambda left, right: multiply(left, right), ENTRIES.schema)
+    return postings.groupBy("part").applyInArrow(multiply, ENTRIES.schema)
 
 
 def _row_blocks(entries: DataFrame, threshold: float, rows_each: int) -> DataFrame:
@@ -391,11 +421,11 @@ def _joined(docs: DataFrame, n: int, threshold: float, rows_each: int, what: str
     classes = written(membership.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     clashes = _clashes(classes)
     rows = classes.select("rep", "n", F.substring("key", 1, 8).alias("a"), F.substring("key", 9, 8).alias("b")).mapInArrow(_named(clashes), "row long, doc_id long, n long")
-    first = labels = None
-    if what == "forest":
+    first = labels = labelled = None
+    if what != "pairs":
         rows = written(rows, "rows")
-        first = _first_links(docs, n, threshold, rows, clashes, rows_each)
-        labels = _packed_labels(written(connected_components(first), "first-groups"), rows, 1 << bits)
+        first, sizes = _first_links(docs, n, threshold, rows, clashes, rows_each)
+        labelled, labels = _labelled(written(connected_components(first), "first-groups"), rows, sizes)
     entries = _block_entries(_postings(docs, n, threshold, bits, clashes), threshold, 1 << bits, labels)
     needs = written(_row_blocks(entries, threshold, rows_each).join(rows, "row").select("row", "block", "cols", "n", "doc_id"), "row-blocks")
     texts = sifted(docs.select("doc_id", "text"), sieve(needs.select("doc_id")))
@@ -403,6 +433,8 @@ def _joined(docs: DataFrame, n: int, threshold: float, rows_each: int, what: str
     found = _multiply_rows(needed, n, threshold, clashes, what)
     if first is not None:
         found = found.unionByName(first, allowMissingColumns=True)
+    if what == "links":
+        found = found.unionByName(_links_inside(docs, labelled, n, threshold, clashes), allowMissingColumns=True)
     return membership, classes, written(found, what)
 
 
@@ -419,10 +451,20 @@ def _named(clashes: np.ndarray):  # noqa: ANN202
     return run
 
 
-def _first_links(docs: DataFrame, n: int, threshold: float, rows: DataFrame, clashes: np.ndarray, rows_each: int, least: int = 1) -> DataFrame:
-    """Links ``a, b`` of representatives that are likely, and verified: a start for groups, so that these need not give all their pairs.
+def _bands(g: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each run of n-grams, none of them empty, ``BANDS`` hashes of its least n-grams in ``BAND`` orders each."""
+    out = np.zeros((len(offsets) - 1, BANDS), np.uint64)
+    for k in range(BANDS * BAND):
+        odd = np.uint64(pow(BASE, 2 * k + 3, 1 << 64) | 1)
+        least = np.minimum.reduceat(g * odd, offsets[:-1])
+        out[:, k // BAND] = mix64(out[:, k // BAND] * np.uint64(BASE) + least + np.uint64(k))
+    return out
+
 
-    Each row is compared with the least row that has one of its ``least`` least n-grams: a star of each.
+def _first_links(docs: DataFrame, n: int, threshold: float, rows: DataFrame, clashes: np.ndarray, rows_each: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` of representatives that are likely, and verified: a start for groups, so that these need not give all their pairs; and the n-grams of each row (``row, size``).
+
+    A row is compared with one other: of the least rows that have its bands, the least.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,27 +472,31 @@ def _first_links(docs: DataFrame, n: int, threshold: float, rows: DataFrame, cla
             texts = batch.column("text")
             for i, j in slices(texts):
                 h, offsets = word_hashes(texts.slice(i, j - i))
-                own = _row_names(text_keys(h, offsets), clashes)
-                found = [g[:least] for g in _grams(h, offsets, n)]
-                gram = np.concatenate(found)
-                key = np.repeat(own, [len(g) for g in found])
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(key.view(np.int64))], ["gram", "row"])
-
-    some = written(docs.select("text").mapInArrow(emit, "gram long, row long"), "least-grams")
-    # an n-gram may be in any share of the documents: its least row is an aggregate, and what has it is joined as hot keys are
-    centres = written(some.groupBy("gram").agg(F.min("row").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "centres")
-    pairs = _with_classes(some, centres, "gram", ["centre"]).filter("row <> centre").select("row", "centre").distinct()
+                own, found = _row_names(text_keys(h, offsets), clashes), _grams(h, offsets, n)
+                lengths = np.array([len(g) for g in found])
+                some = np.flatnonzero(lengths)
+                if len(some):
+                    bands = _bands(np.concatenate(found), np.r_[0, np.cumsum(lengths[some])])
+                    bands = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.ravel().view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[some].view(np.int64)), pa.array(lengths[some]), bands], ["row", "size", "bands"])
+
+    each = written(docs.select("text").mapInArrow(emit, "row long, size long, bands array<long>"), "bands")
+    some = each.select("row", F.explode("bands").alias("band"))
+    # a band may be in any share of the documents: its least row is an aggregate, and what has it is joined as hot keys are
+    centres = written(some.groupBy("band").agg(F.min("row").alias("centre"), F.max("row").alias("most"), F.count(F.lit(1)).alias("n")).filter("centre <> most"), "centres")
+    shared = sifted(some.withColumnRenamed("band", "doc_id"), sieve(centres.select("band"))).withColumnRenamed("doc_id", "band")
+    pairs = written(_with_classes(shared, centres, "band", ["centre"]).filter("row <> centre").groupBy("row").agg(F.min("centre").alias("centre")), "stars")
     # a centre may have any number of rows: they are cut into pieces of about rows_each
-    size = written(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")), "stars")
+    size = written(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")), "star-sizes")
     cut = _with_classes(pairs, size, "centre", [F.col("n").alias("size")])
     piece = F.xxhash64("centre", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / rows_each).cast("int")))
-    placed = cut.select("row", "centre", piece.alias("block"))
+    placed = cut.select("row", "centre", F.pmod(piece, F.lit(math.ceil(pairs.count() / rows_each) or 1)).alias("block"))
     asked = placed.mapInArrow(_with_cols, "row long, block long, cols binary")
     needed = asked.unionByName(placed.select(F.col("centre").alias("row"), "block", F.lit(None).cast("binary").alias("cols")))
     needs = written(needed.groupBy("row", "block").agg(F.max("cols").alias("cols")).join(rows, "row").select("row", "block", "cols", "n", "doc_id"), "star-blocks")
     texts = sifted(docs.select("doc_id", "text"), sieve(needs.select("doc_id")))
     found = _multiply_rows(needs.join(texts, "doc_id").select("row", "block", "cols", "n", "doc_id", "text"), n, threshold, clashes, "forest")
-    return written(found.filter("a <> b").select("a", "b"), "first-links")
+    return written(found.filter("a <> b").select("a", "b"), "first-links"), each.select("row", "size")
 
 
 def _with_cols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,18 +505,125 @@ def _with_cols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("block"), pa.array([c.to_bytes(8, "little", signed=True) for c in batch.column("centre").to_pylist()], pa.binary())], ["row", "block", "cols"])
 
 
-def _packed_labels(labels: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
-    """Labels (``node, component``) of rows, for every column block."""
+def _labelled(groups: DataFrame, rows: DataFrame, sizes: DataFrame) -> tuple[DataFrame, _Labels]:
+    """Rows with the labels of groups (``node, component``) as ``row, doc_id, n, size, label``, at most about ``MOST_LABELS`` of them; the others count as not joined yet."""
+    named = rows.join(groups, rows["doc_id"] == groups["node"]).select("row", "doc_id", "n", F.col("component").alias("label"))
+    named = written(named.join(sizes.groupBy("row").agg(F.max("size").alias("size")), "row"), "labelled")
+    if (count := named.count()) > MOST_LABELS:
+        groups = written(named.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label-sizes")
+        least, total = None, 0
+        for r in groups.groupBy("n").agg(F.sum("n").alias("rows")).orderBy(F.desc("n")).toLocalIterator():
+            if (total := total + r.rows) > MOST_LABELS:
+                break
+            least = r.n
+        if least:
+            named = written(named.join(groups.filter(F.col("n") >= least).select("label"), "label", "left_semi"), "labelled")
+        else:
+            named = written(named.filter(F.pmod(F.xxhash64("row"), F.lit(math.ceil(count / MOST_LABELS))) == 0), "labelled")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = {"keys": batch.column("row").to_numpy().view(np.uint64), "label": batch.column("label").to_numpy().view(np.uint64)}
-                packed = LABELS.batch([(0, x)])
-                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), *(pa.array([packed.column(k)[0].as_py()] * blocks, pa.binary()) for k in (1, 2))], ["part", "keys", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(k).to_numpy().tobytes()], pa.binary()) for k in range(2)], ["row", "label"])
+
+    found = named.select("row", "label").mapInArrow(pack, "row binary, label binary").collect()
+    keys, label = np.frombuffer(b"".join(r.row for r in found), np.uint64), np.frombuffer(b"".join(r.label for r in found), np.int64)
+    order, group = np.argsort(keys), np.unique(label, return_inverse=True)[1].astype(np.uint32)
+    sc = rows.sparkSession.sparkContext
+    return named, _Labels(sc.broadcast(keys[order]), sc.broadcast(group[order]))
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each of ``left`` shares with each of ``right``: columns that many have by dense products, the others pair by pair."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    column = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
+    if not len(column):
+        return out
+    cells, counts = [], []
+    for grams in (left, right):
+        g, doc = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(x) for x in grams])
+        at = np.minimum(np.searchsorted(column, g), len(column) - 1)
+        there = column[at] == g
+        at, doc = at[there], doc[there]
+        order = np.argsort(at, kind="stable")
+        cells.append((at[order], doc[order]))
+        counts.append(np.bincount(at, minlength=len(column)))
+    begin = [np.r_[0, np.cumsum(c)] for c in counts]
+    products = counts[0] * counts[1]
+    dense = products >= DENSE_SHARE * out.size
+    for some in np.array_split(np.flatnonzero(dense), math.ceil(dense.sum() / 1024) or 1):
+        parts_ = []
+        for (at, doc), c, b, height in zip(cells, counts, begin, out.shape, strict=True):
+            x = np.zeros((height, len(some)), np.float32)
+            take = np.repeat(b[some] - np.r_[0, np.cumsum(c[some])[:-1]], c[some]) + np.arange(c[some].sum()) if len(some) else np.zeros(0, np.int64)
+            x[doc[take], np.repeat(np.arange(len(some)), c[some])] = 1
+            parts_.append(x)
+        out += parts_[0] @ parts_[1].T
+    flat, rare = out.reshape(-1), np.flatnonzero(~dense)
+    total, i = np.r_[0, np.cumsum(products[rare])], 0
+    while i < len(rare):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + (1 << 20), side="right")) - 1)
+        some, wide = rare[i:j], products[rare[i:j]]
+        own, k = np.repeat(some, wide), np.arange(total[j] - total[i]) - np.repeat(total[i:j] - total[i], wide)
+        np.add.at(flat, cells[0][1][begin[0][own] + k // counts[1][own]] * out.shape[1] + cells[1][1][begin[1][own] + k % counts[1][own]], np.float32(1))
+        i = j
+    return out
+
 
-    named = rows.join(labels, rows["doc_id"] == labels["node"]).select("row", F.col("component").alias("label"))
-    return named.mapInArrow(pack, LABELS.schema)
+def _links_inside(docs: DataFrame, labelled: DataFrame, n: int, threshold: float, clashes: np.ndarray) -> DataFrame:
+    """``a, overlap`` of representatives: the documents that each row is linked to within its group, tile by tile."""
+    piece_bytes, piece_rows = PIECE_BYTES, PIECE_ROWS
+
+    def count(table: pa.Table) -> pa.Table:
+        own = table.column("row").to_numpy().view(np.uint64)
+        texts, grams = table.column("text").combine_chunks(), {}
+        for i, j in slices(texts):
+            h, offsets = word_hashes(texts.slice(i, j - i))
+            fits = _row_names(text_keys(h, offsets), clashes) == own[i:j]  # an identifier may come with several texts
+            for k in np.flatnonzero(fits):
+                if int(own[i + k]) not in grams:
+                    grams[int(own[i + k])] = _grams(h[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]), n)[0]
+        label, piece, other = (table.column(c).to_numpy() for c in ("label", "piece", "other"))
+        reps, copies = (table.column(c).to_numpy() for c in ("doc_id", "n"))
+        order = np.lexsort((own, piece, other, label))
+        tile = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0] | np.r_[True, np.diff(other[order]) != 0])
+        a, links = [], []
+        for begin, end in zip(tile, np.r_[tile[1:], len(order)], strict=True):
+            at = order[begin:end]
+            at = at[np.r_[True, own[at[1:]] != own[at[:-1]]]]
+            i, j = int(other[at[0]]) >> 32, int(other[at[0]]) & 0xFFFFFFFF
+            sides = [at[piece[at] == i], at[piece[at] == j]]
+            if not all(len(x) for x in sides):
+                continue
+            left, right = ([grams[int(k)] for k in own[x]] for x in sides)
+            m = [np.array([len(g) for g in side], np.float64) for side in (left, right)]
+            both = _overlaps(left, right)
+            of_right = np.zeros(len(right))
+            for k in range(0, len(left), 256):
+                good = both[k : k + 256] * (1 + threshold) >= threshold * (m[0][k : k + 256, None] + m[1]) - 1e-9
+                if i == j:
+                    good[np.arange(len(good)), k + np.arange(len(good))] = False
+                good = good.astype(np.float64)
+                a.append(reps[sides[0][k : k + 256]])
+                links.append((good @ copies[sides[1]].astype(np.float64)).astype(np.int64))
+                of_right += copies[sides[0][k : k + 256]].astype(np.float64) @ good
+            if i != j:
+                a.append(reps[sides[1]])
+                links.append(of_right.astype(np.int64))
+        a, links = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, links))
+        return pa.table({"a": pa.array(a[links > 0], pa.int64()), "overlap": pa.array(links[links > 0], pa.int64())})
+
+    # an n-gram has 8 bytes
+    weight = F.col("size") * 8
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("bytes"))
+    sizes = written(sizes.select("label", "n", "bytes", F.greatest(F.ceil(F.col("bytes") / piece_bytes), F.ceil(F.col("n") / piece_rows)).cast("long").alias("pieces")), "groups")
+    small = sizes.filter("pieces = 1").agg(F.sum("bytes")).first()[0] or 0
+    cut = _with_classes(labelled, sizes, "label", ["pieces"]).withColumn("piece", F.pmod(F.xxhash64("row"), "pieces"))
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda k: F.shiftleft(F.least(k, "piece"), 32) + F.greatest(k, "piece"))
+    many = F.lit(math.ceil(small / piece_bytes) or 1)  # groups of one piece share blocks
+    block = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("label"), many)).otherwise(F.xxhash64("label", "other"))
+    texts = sifted(docs.select("doc_id", "text"), sieve(labelled.select("doc_id")))
+    placed = cut.join(texts, "doc_id").select("row", "doc_id", "n", "label", "piece", "pieces", "text", F.explode(tiles).alias("other"))
+    return placed.select("row", "doc_id", "n", "label", "piece", "other", "text", block.alias("block")).groupBy("block").applyInArrow(count, "a long, overlap long")
 
 
 def class_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, rows_each: int = 256) -> tuple[DataFrame, DataFrame]:

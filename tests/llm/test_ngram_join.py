@@ -88,6 +88,36 @@ def test_large_groups(spark):
     assert near_groups(df).select("group_id").distinct().count() == 1
 
 
+def test_large_groups_give_few_entries(spark, monkeypatch):
+    """Copies that are joined already give no entries between each other; links within a group are counted over several tiles."""
+    entries, real = [], ngram_join._row_blocks
+
+    def spied(found, *args):
+        entries.append(sum(len(r.row) // 4 for r in found.collect()))
+        return real(found, *args)
+
+    monkeypatch.setattr(ngram_join, "_row_blocks", spied)
+    for name, value in (("PIECE_ROWS", 64), ("ENTRIES_AT_ONCE", 50)):
+        monkeypatch.setattr(ngram_join, name, value, raising=False)
+    rng = random.Random(13)
+    base = prose(rng, 100)
+    docs = {i: edited(rng, base, 0.03) if i % 9 else prose(rng, 60) for i in range(360)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    want = links_and_classes(docs, brute(docs, 3, 0.5))
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_jaccard_join(df).collect()} == want
+    assert entries[0] < 20 * len(docs)
+    # rows beyond the bound of the broadcast count as not joined yet
+    monkeypatch.setattr(ngram_join, "MOST_LABELS", 100, raising=False)
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_jaccard_join(df).collect()} == want
+
+
+def test_products_of_tiles():
+    rng = random.Random(14)
+    sides = [[np.unique(np.array([rng.randrange(5) if rng.random() < 0.3 else rng.randrange(300) for _ in range(rng.randint(1, 40))], np.uint64)) for _ in range(k)] for k in (70, 90)]
+    want = [[len(np.intersect1d(x, y)) for y in sides[1]] for x in sides[0]]
+    assert ngram_join._overlaps(*sides).astype(int).tolist() == want
+
+
 def test_one_of_each_group_stays(spark):
     docs = corpus(4)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
