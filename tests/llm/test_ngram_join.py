@@ -118,6 +118,16 @@ def test_products_of_tiles():
     assert ngram_join._overlaps(*sides).astype(int).tolist() == want
 
 
+def test_bands_join_copies_only():
+    """Near copies share a band, texts that share few n-grams don't: such stars would send texts in vain."""
+    rng = np.random.default_rng(15)
+    base, other = (np.unique(rng.integers(0, 1 << 63, 300, np.uint64)) for _ in range(2))
+    near = np.r_[base[30:], other[:30]]
+    some = np.r_[other[:290], base[:10]]
+    a, b, c = ngram_join._bands(np.concatenate([base, near, some]), np.cumsum([0, len(base), len(near), len(some)]))
+    assert (a == b).any() and not (a == c).any()
+
+
 def test_one_of_each_group_stays(spark):
     docs = corpus(4)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
