@@ -55,8 +55,15 @@ def signature(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(text, r"[0-9]+", "#"), SPACE, ""))
 
 
+#: Letters that are one capital letter by themselves, where ``upper`` gives several.
+_SMALL = "ß" + "".join(chr(b + k) for b in (0x1F80, 0x1F90, 0x1FA0) for k in range(8)) + "ᾳῃῳ"
+_GREAT = "ẞ" + "".join(chr(b + k) for b in (0x1F88, 0x1F98, 0x1FA8) for k in range(8)) + "ᾼῌῼ"
+
+
 def capitalise(text: Column) -> Column:
-    return let(text, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 2**31 - 1)))
+    """With a capital first letter: always one letter, so that those of which ``upper`` makes several stay, or have their own."""
+    first = lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, _SMALL, _GREAT))
+    return let(text, lambda t: F.concat(first(F.substring(t, 1, 1)), F.substring(t, 2, 2**31 - 1)))
 
 
 def is_caption(text: Column) -> Column:
