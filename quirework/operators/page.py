@@ -1,10 +1,11 @@
 """Passes over one page at a time that are greedy or recursive: lines of glyphs, reading order, figures, tables.
 
-Each is a grouped map over Arrow tables, keyed by document and page; the kernels are plain Python.
+Each is a map over Arrow batches or a grouped one, keyed by document and page; the kernels are plain Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quirework.operators.groups import whole_groups
 from quirework.operators.stats import pooled_mode
 
 Box = tuple[float, float, float, float]
@@ -62,17 +64,84 @@ def reading_order(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def reading_order_of_pages(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, baseline: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``reading_order`` of many pages at once, whose lines stand together: ``page`` never decreases.
+
+    All parts of one depth are cut in step.  Pages with coordinates that aren't finite are read one by one.
+    """
+    n = len(page)
+    if not n:
+        return np.zeros(0, np.int64)
+    tall = np.maximum(y1 - y0, size)
+    starts = np.flatnonzero(np.diff(page, prepend=page[0] - 1))
+    odd = np.logical_or.reduceat(~np.isfinite(x0 + x1 + y0 + y1 + baseline + size), starts)
+    at, seg = np.arange(n), np.repeat(np.arange(len(starts)), np.diff(starts, append=n))
+    live = ~odd
+    ranks = {k: np.unique(hi, return_inverse=True) for k, hi in (("x", x1), ("y", y1))}
+
+    def cut(rows: np.ndarray, lo: np.ndarray, axis: str, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorts the rows of the parts that are cut; which parts those are, and the rows at which new ones begin."""
+        values, rank = ranks[axis]
+        s = seg[rows]
+        order = np.lexsort((lo[at[rows]], s))
+        lines = at[rows][order]
+        reach = values[np.maximum.accumulate(s * len(values) + rank[lines]) - s * len(values)]
+        inner = np.flatnonzero(s[1:] == s[:-1])
+        gap, of = lo[lines[inner + 1]] - reach[inner], s[inner]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        most = np.zeros(len(live))
+        most[of[first]] = np.maximum.reduceat(gap, first)
+        done = np.zeros(len(live), bool)
+        done[of[first]] = most[of[first]] > least[of[first]]
+        moved = done[s]
+        at[rows[moved]] = lines[moved]
+        return done, rows[inner + 1][done[of] & (gap >= most[of] * 0.85)]
+
+    for _ in range(32):
+        many = np.bincount(seg, minlength=len(live))
+        begins = np.zeros(n, bool)
+        cut_at = np.zeros(len(live), bool)
+        rows = np.flatnonzero((live & (many >= 4))[seg])
+        if len(rows):
+            cut_at, new = cut(rows, x0, "x", np.full(len(live), 9.0))
+            begins[new] = True
+        rows = np.flatnonzero((live & (many >= 2) & ~cut_at)[seg])
+        if len(rows):
+            high = rows[tall[at[rows]] > 0]
+            high = high[np.lexsort((tall[at[high]], seg[high]))]
+            count = np.bincount(seg[high], minlength=len(live))
+            usual = np.full(len(live), 10.0)
+            usual[count > 0] = tall[at[high[(np.cumsum(count) - count + count // 2)[count > 0]]]]
+            also, new = cut(rows, y0, "y", usual * 0.15)
+            begins[new] = True
+            cut_at = cut_at | also
+        if not cut_at.any():
+            break
+        old = seg
+        seg = np.cumsum(begins | (np.diff(old, prepend=-1) > 0)) - 1
+        live = cut_at[old[np.flatnonzero(np.diff(seg, prepend=-1))]]
+    at = at[np.lexsort((x0[at], baseline[at], seg))]
+    for k in np.flatnonzero(odd):
+        a, b = starts[k], starts[k + 1] if k + 1 < len(starts) else n
+        at[a:b] = a + reading_order(x0[a:b], y0[a:b], x1[a:b], y1[a:b], baseline[a:b], size[a:b])
+    return at
+
+
 def in_reading_order(lines: DataFrame) -> DataFrame:
-    """The lines with ``ord``, their place on the page."""
+    """The lines with ``ord``, their place on the page.
+
+    Pages arrive whole and one after another, so that a batch's are ordered at once; the last waits for the next batch.
+    """
     schema = T.StructType([*(f for f in lines.schema.fields if f.name != "ord"), T.StructField("ord", T.IntegerType())])
+    kept = lines.select(*schema.names[:-1])
 
-    def run(table: pa.Table) -> pa.Table:
-        c = {k: table.column(k).to_numpy().astype(np.float64) for k in ("x0", "y0", "x1", "y1", "baseline", "size")}
-        at = reading_order(**c)
-        out = table.drop_columns(["ord"]) if "ord" in table.column_names else table
-        return out.take(pa.array(at)).append_column("ord", pa.array(np.arange(len(at)), pa.int32()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, page, starts in whole_groups(batches, ["doc_id", "page"]):
+            c = {k: table.column(k).to_numpy().astype(np.float64) for k in ("x0", "y0", "x1", "y1", "baseline", "size")}
+            at = reading_order_of_pages(page, **c)
+            yield from table.take(pa.array(at)).append_column("ord", pa.array(np.arange(len(at)) - starts[page], pa.int32())).to_batches()
 
-    return lines.groupBy("doc_id", "page").applyInArrow(run, schema)
+    return kept.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page").mapInArrow(run, schema)
 
 
 # ---- lines of glyphs
