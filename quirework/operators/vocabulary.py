@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.functions.text import split_words, vocabulary_key
+from quirework.functions.text import let, split_words, vocabulary_key
 
 
 def vocabulary(lines: DataFrame) -> DataFrame:
     """``doc_id, word, n``: words of letters and hyphens within lines, where no break can have cut them."""
-    inner = lines.select("doc_id", split_words(F.col("text")).alias("w")).filter("size(w) >= 3").select("doc_id", F.explode(F.expr("slice(w, 2, size(w) - 2)")).alias("w"))
+    # split once: a filter before, or that which Spark puts before an explode of no empty arrays, would split again
+    inner = lines.select("doc_id", F.explode_outer(let(split_words(F.col("text")), lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))).alias("w"))
     return inner.select("doc_id", vocabulary_key(F.col("w")).alias("word")).filter("word IS NOT NULL").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 

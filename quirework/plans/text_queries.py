@@ -184,7 +184,7 @@ _CUT = "SELECT doc_id, 0 AS page, k::INT AS ord, substr(t, k * 60 + 1, 60) AS te
 SELECT m.doc_id, ord, head, tail, merged, coalesce(a.n, 0) > 0 AND coalesce(a.n, 0) >= greatest(coalesce(b.n, 0) * 2, 1) AS joins FROM m LEFT JOIN v a ON a.doc_id = m.doc_id AND a.word = merged LEFT JOIN v b ON b.doc_id = m.doc_id AND b.word = lower(tail)""")
 def word_rejoining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut into lines of sixty characters, within words as well."""
-    whole = docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"))
-    cut = whole.filter("length(t) > 0").select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.ceil(F.length("t") / 60).cast("int") - 1)).alias("ord"))
-    lines = cut.select("doc_id", F.lit(0).alias("page"), "ord", F.substring("t", F.col("ord") * 60 + 1, F.lit(60)).alias("text"))
+    # one pass over each text: a substring for each line would read it from its beginning again
+    cut = F.regexp_extract_all(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("(?s).{1,60}"), 0)
+    lines = docs(spark, sf_dir).select("doc_id", F.lit(0).alias("page"), F.posexplode_outer(cut).alias("ord", "text")).filter("text IS NOT NULL")
     return V.rejoin_candidates(lines, V.vocabulary(lines))
