@@ -12,21 +12,23 @@ def sections(blocks: DataFrame) -> DataFrame:
     A section reaches to the next heading of its level or above; its parent is the nearest heading before it of
     a lower level.  Blocks before the first heading are front matter: no title, level 0.
     """
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    ranked = blocks.select("doc_id", "page", "type", "text", F.coalesce("level", F.lit(1)).alias("level"), (F.row_number().over(w) - 1).alias("ord"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("_n"))
-    heads = ranked.filter("type = 'heading'").select("doc_id", F.col("ord").alias("start"), F.col("text").alias("title"), "level", "_n")
+    # all windows are by document: one shuffle, and one reading of the blocks
+    doc = Window.partitionBy("doc_id")
+    w = doc.orderBy("ord")
+    ranked = blocks.select("doc_id", "page", "type", "text", F.coalesce("level", F.lit(1)).alias("level"), (F.row_number().over(w) - 1).alias("start"), F.lag("page").over(w).alias("_before"), F.count(F.lit(1)).over(doc).alias("_n"), F.max_by("page", "ord").over(doc).alias("_last"))
+    head = F.col("type") == "heading"
+    marked = ranked.filter(head | (F.col("start") == 0)).select("doc_id", "start", "page", head.alias("_head"), F.when(head, F.col("text")).alias("title"), F.when(head, F.col("level")).otherwise(0).alias("level"), "_before", "_n", "_last")
     # levels are few, so that the next heading at or above a level is the least of a handful of running minima
-    ahead = Window.partitionBy("doc_id").orderBy("start").rowsBetween(1, Window.unboundedFollowing)
-    behind = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    end, parent = F.col("_n"), F.lit(None).cast("int")
+    ahead = doc.orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = doc.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    none, here = F.struct(F.col("_n").cast("int").alias("at"), F.col("_last").alias("page")), F.struct(F.col("start").alias("at"), F.col("_before").alias("page"))
+    stop, parent = none, F.lit(None).cast("int")
     for k in range(6, 0, -1):
-        end = F.when(F.col("level") == k, F.coalesce(F.min(F.when(F.col("level") <= k, F.col("start"))).over(ahead), F.col("_n"))).otherwise(end)
-        parent = F.when(F.col("level") == k, F.max(F.when(F.col("level") < k, F.col("start"))).over(behind)).otherwise(parent)
-    named = heads.select("doc_id", "start", end.cast("int").alias("end"), "title", "level", parent.alias("parent"))
-    first = ranked.groupBy("doc_id").agg(F.min(F.when(F.col("type") == "heading", F.col("ord"))).alias("_first"), F.max("_n").alias("_n"))
-    front = first.filter(F.coalesce("_first", "_n") > 0).select("doc_id", F.lit(0).alias("start"), F.coalesce("_first", "_n").cast("int").alias("end"), F.lit(None).cast("string").alias("title"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("parent"))
-    every = named.unionByName(front)
+        stop = F.when(F.col("level") == k, F.coalesce(F.min(F.when(F.col("_head") & (F.col("level") <= k), here)).over(ahead), none)).otherwise(stop)
+        parent = F.when(F.col("level") == k, F.max(F.when(F.col("_head") & (F.col("level") < k), F.col("start"))).over(behind)).otherwise(parent)
+    # front matter ends at the first heading of whatever level
+    stop = F.when(~F.col("_head"), F.coalesce(F.min(F.when(F.col("_head"), here)).over(ahead), none)).otherwise(stop)
+    parent = F.when(F.col("_head"), parent)
+    found = marked.withColumn("_stop", stop).withColumn("parent", parent)
     # pages never go back in block order, so the first and the last block of a range tell its pages
-    page = ranked.select("doc_id", "ord", "page")
-    starts = every.join(page.select("doc_id", F.col("ord").alias("start"), F.col("page").alias("first_page")), ["doc_id", "start"])
-    return starts.join(page.select("doc_id", (F.col("ord") + 1).alias("end"), F.col("page").alias("last_page")), ["doc_id", "end"]).select("doc_id", "start", "end", "title", "level", "first_page", "last_page", "parent")
+    return found.select("doc_id", "start", F.col("_stop.at").alias("end"), "title", "level", F.col("page").alias("first_page"), F.col("_stop.page").alias("last_page"), "parent")

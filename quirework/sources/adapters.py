@@ -19,7 +19,7 @@ def typeset(docs: DataFrame) -> DataFrame:
 
     ``doc_id, page, ord, text, baseline, size, x0, x1, y0, y1, bold, page_height``; blank lines have no row.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text")).withColumn("text", F.trim("text")).filter("text <> ''")
+    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("ord", "text")).withColumn("text", F.trim("text")).filter("text <> ''")
     size = F.when(F.col("ord") == 0, 14.0).otherwise(10.0).cast("float")
     baseline = (F.lit(TOP) + LEADING * (F.col("ord") % PER_PAGE)).cast("float")
     out = lines.select("doc_id", F.floor(F.col("ord") / PER_PAGE).cast("int").alias("page"), "ord", "text", baseline.alias("baseline"), size.alias("size"))
@@ -57,7 +57,8 @@ def html_blocks(pages: DataFrame) -> DataFrame:
 
     each = pages.select(F.col("page_id").alias("doc_id"), F.transform(F.flatten(pieces), block).alias("b"))
     title = F.array_position(F.transform("b", lambda x: (x["tag"] == "h1") & (x["text"] != "")), F.lit(True)) - 1
-    rows = each.select("doc_id", title.cast("int").alias("title"), F.posexplode("b").alias("ord", "e")).filter("e.text <> '' OR size(e.rows) > 0")
+    # the outer form: before the other one Spark puts a filter that extracts the blocks once more
+    rows = each.select("doc_id", title.cast("int").alias("title"), F.posexplode_outer("b").alias("ord", "e")).filter("e.text <> '' OR size(e.rows) > 0")
     tag = F.col("e.tag")
     kind = F.when(F.col("ord") == F.col("title"), "title").when(tag.rlike("^h[1-6]$"), "heading").when(tag == "li", "list_item").when(tag == "table", "table").otherwise("paragraph")
     level = F.when(kind == "heading", F.substring(tag, 2, 1).cast("int"))
