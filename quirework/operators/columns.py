@@ -12,20 +12,53 @@ from pyspark.sql import functions as F
 LEAST_BOXES, GUTTER, FLANK, MOST_GUTTERS, SPINE = 200, 9, 24, 2, 12.0
 
 
+def boxes_of_pages(boxes: DataFrame) -> DataFrame:
+    """``doc_id, page, width, b`` of boxes ``doc_id, page, x0, x1, page_width``: a page's boxes as one array."""
+    return boxes.groupBy("doc_id", "page").agg(F.max("page_width").alias("width"), F.collect_list(F.struct(F.col("x0").cast("float"), F.col("x1").cast("float"))).alias("b"))
+
+
+def _edges(x0: np.ndarray, x1: np.ndarray, bins: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The points at which boxes begin and end, on pages of so many points."""
+    lo = np.clip(np.floor(x0), 0, bins).astype(np.int64)
+    return lo, np.maximum(np.clip(np.ceil(x1), 0, bins).astype(np.int64), lo)
+
+
+def _kinds(pages: DataFrame) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    return f"doc_id {kinds['doc_id']}, page {kinds['page']}"
+
+
 def coverage(boxes: DataFrame) -> DataFrame:
-    """``doc_id, page, bin, n``: how many boxes (``x0, x1`` on ``page_width``) cover each point of a page's width.
+    """``doc_id, page, bin, n``: how many boxes (``x0, x1`` on ``page_width``) cover each point of a page's width."""
+    return coverage_of_pages(boxes_of_pages(boxes.filter("page_width > 0")))
 
-    Two rows a box, where it begins and ends, whose running sum is the profile: no row per box and point.
+
+def coverage_of_pages(pages: DataFrame, covered: bool = False) -> DataFrame:
+    """``coverage`` of pages of ``boxes_of_pages``, by a running sum of where boxes begin and end: a map without a shuffle.
+
+    With ``covered``, of the points that some box covers only.
     """
-    bins = F.ceil("page_width").cast("int")
-    lo = F.least(F.greatest(F.floor("x0"), F.lit(0)), bins).cast("int")
-    hi = F.greatest(F.least(F.greatest(F.ceil("x1"), F.lit(0)), bins).cast("int"), lo)
-    keyed = boxes.filter("page_width > 0").select("doc_id", "page", bins.alias("bins"), lo.alias("lo"), hi.alias("hi"))
-    steps = keyed.select("doc_id", "page", F.explode(F.array(F.struct(F.col("lo").alias("bin"), F.lit(1).alias("d")), F.struct(F.col("hi").alias("bin"), F.lit(-1).alias("d")))).alias("s")).select("doc_id", "page", "s.bin", "s.d")
-    every = keyed.groupBy("doc_id", "page").agg(F.max("bins").alias("bins")).select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"), F.lit(0).alias("d"))
-    change = steps.unionByName(every).groupBy("doc_id", "page", "bin").agg(F.sum("d").alias("d"), F.max(F.when(F.col("d") == 0, 1)).alias("_in"))
-    running = F.sum("d").over(Window.partitionBy("doc_id", "page").orderBy("bin"))
-    return change.withColumn("n", running).filter("_in = 1").select("doc_id", "page", "bin", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                boxes = batch.column("b")
+                at = boxes.offsets.to_numpy()
+                x0, x1 = (boxes.values.field(c).to_numpy(zero_copy_only=False)[at[0] : at[-1]] for c in (0, 1))
+                bins = np.ceil(batch.column("width").to_numpy(zero_copy_only=False)).astype(np.int64)
+                # pages one after another, each with a point more than its width where boxes at its end go
+                start = np.concatenate([[0], np.cumsum(bins + 1)])
+                of = np.repeat(np.arange(len(bins)), np.diff(at))
+                lo, hi = _edges(x0, x1, bins[of])
+                n = np.cumsum(np.bincount(start[of] + lo, minlength=start[-1]) - np.bincount(start[of] + hi, minlength=start[-1]))
+                page = np.repeat(np.arange(len(bins)), bins + 1)
+                bin_ = np.arange(start[-1]) - start[page]
+                shown = np.flatnonzero((bin_ < bins[page]) & ((n > 0) | (not covered)))
+                which = pa.array(page[shown])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(which), batch.column("page").take(which), pa.array(bin_[shown], pa.int32()), pa.array(n[shown], pa.int64())], ["doc_id", "page", "bin", "n"])
+
+    return pages.select("doc_id", "page", "width", "b").mapInArrow(run, f"{_kinds(pages)}, bin int, n long")
 
 
 def profile_gutters(x0: np.ndarray, x1: np.ndarray, width: float) -> list[tuple[float, float]]:
@@ -36,8 +69,7 @@ def profile_gutters(x0: np.ndarray, x1: np.ndarray, width: float) -> list[tuple[
     if len(x0) < LEAST_BOXES or not width > 0:
         return []
     bins = int(np.ceil(width))
-    lo = np.clip(np.floor(x0), 0, bins).astype(np.int64)
-    hi = np.maximum(np.clip(np.ceil(x1), 0, bins).astype(np.int64), lo)
+    lo, hi = _edges(x0, x1, bins)
     n = np.cumsum(np.bincount(lo, minlength=bins + 1) - np.bincount(hi, minlength=bins + 1))[:bins]
     peak = int(n.max())
     dense = np.flatnonzero(n > int(np.floor(np.float32(peak) * np.float32(0.25))))
@@ -68,7 +100,12 @@ def gutters(boxes: DataFrame) -> DataFrame:
     Pages of fewer than 200 boxes have none, nor have those with more than two.  Boxes meet their page in one shuffle,
     as two arrays; pages of too few boxes never reach Python.
     """
-    pages = boxes.groupBy("doc_id", "page").agg(F.max("page_width").alias("width"), F.collect_list(F.struct(F.col("x0").cast("float"), F.col("x1").cast("float"))).alias("b")).filter(F.size("b") >= LEAST_BOXES)
+    return gutters_of_pages(boxes_of_pages(boxes))
+
+
+def gutters_of_pages(every: DataFrame) -> DataFrame:
+    """``gutters`` of pages of ``boxes_of_pages``."""
+    pages = every.select("doc_id", "page", "width", "b").filter(F.size("b") >= LEAST_BOXES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,8 +115,7 @@ def gutters(boxes: DataFrame) -> DataFrame:
             which = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(which), batch.column("page").take(which), pa.array([r[1] for r in rows], pa.float32()), pa.array([r[2] for r in rows], pa.float32())], ["doc_id", "page", "g0", "g1"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
-    return pages.mapInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, g0 float, g1 float")
+    return pages.mapInArrow(run, f"{_kinds(pages)}, g0 float, g1 float")
 
 
 def spine(found: DataFrame) -> DataFrame:
