@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,10 +13,13 @@ from pyspark.sql import types as T
 from quirework.functions import text as X
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def nfkc(text: pa.Array) -> pa.Array:
     """Compatibility composition, for which Spark has no function."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    fold = lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t)
+    # a few texts at a time are Python's, not those of a whole batch
+    parts = [pa.array([fold(x.as_py()) for x in text.slice(k, 64)], pa.string()) for k in range(0, len(text), 64)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def _recall(items: DataFrame, docs: DataFrame, parts, name: str) -> DataFrame:  # noqa: ANN001
@@ -36,15 +39,17 @@ def coverage(items: DataFrame, docs: DataFrame) -> DataFrame:
     return _recall(items, docs, F.array_distinct, "coverage")
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(reference: pd.Series, output: pd.Series) -> pd.Series:
-    """Matching blocks of two arrays of words, twice their length by that of both; 0 for an empty reference."""
+@F.arrow_udf(T.DoubleType())
+def similarity(reference: pa.Array, output: pa.Array) -> pa.Array:
+    """Matching blocks of two arrays of words, twice their length by that of both; 0 for an empty reference.
+
+    One pair at a time is taken from Arrow: as Python's words, a batch takes many times its bytes.
+    """
 
     def ratio(a: list[str] | None, b: list[str] | None) -> float:
-        a, b = list(a if a is not None else []), list(b if b is not None else [])
-        return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if a else 0.0
+        return difflib.SequenceMatcher(None, a, b or [], autojunk=False).ratio() if a else 0.0
 
-    return pd.Series([ratio(a, b) for a, b in zip(reference, output, strict=True)], dtype=float)
+    return pa.array([ratio(reference[i].as_py(), output[i].as_py()) for i in range(len(reference))], pa.float64())
 
 
 def score(pairs: DataFrame) -> DataFrame:
