@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions import text as X
+from quirework.operators.groups import whole_groups
 from quirework.operators.vocabulary import may_rejoin, rejoins, vocabulary
 
 
@@ -72,31 +77,58 @@ def raw_blocks(lines: DataFrame, stats: DataFrame, words: DataFrame | None = Non
 def coalesce_fragments(blocks: DataFrame) -> DataFrame:
     """Paragraphs of up to three words go to the paragraph before, if they lie below or beside it.
 
-    The box of that paragraph grows as it takes them, so that this is a fold over the blocks of a document.
+    The box of that paragraph grows as it takes them, so that this is a fold over the blocks of a document.  Documents
+    come whole and in order, as the window leaves them; only paragraphs of a few words after another one are looked at.
     """
-    schema = blocks.select(*blocks.columns).schema
+    schema = blocks.schema
     heads = {"references", "bibliography", "works cited", "literature cited"}
+    sides = ("x0", "y0", "x1", "y1")
 
     def bibliography(t: str) -> bool:
         return "".join(c for c in t.lower() if c.isalpha() or c.isspace()).strip() in heads
 
-    def fold(table: pa.Table) -> pa.Table:
-        out: list[dict] = []
-        for b in table.sort_by("ord").to_pylist():
-            p = out[-1] if out else None
-            if p and p["type"] == b["type"] == "paragraph" and p["page"] == b["page"] and len(b["text"].split()) <= 3:
-                opens = b["text"][:1].isupper() and p["text"].endswith((".", ":", "?", "!"))
-                below = b["y0"] - p["y1"] <= b["leading"] * 1.6 and min(p["x1"], b["x1"]) > max(p["x0"], b["x0"])
-                shorter = max(1.0, min(p["y1"] - p["y0"], b["y1"] - b["y0"]))
-                beside = min(p["y1"], b["y1"]) - max(p["y0"], b["y0"]) >= shorter * 0.5 and b["x0"] >= p["x0"]
-                if not opens and not bibliography(b["text"]) and (below or beside):
-                    p["text"] += " " + b["text"]
-                    p |= {"x0": min(p["x0"], b["x0"]), "y0": min(p["y0"], b["y0"]), "x1": max(p["x1"], b["x1"]), "y1": max(p["y1"], b["y1"])}
-                    continue
-            out.append(b | {"ord": len(out)})
-        return pa.Table.from_pylist(out, schema=table.schema)
-
-    return blocks.groupBy("doc_id").applyInArrow(fold, schema)
+    def fold(table: pa.Table, doc: np.ndarray, starts: np.ndarray) -> pa.Table:
+        paragraph = pc.equal(table.column("type"), "paragraph").to_numpy()
+        page = table.column("page").to_numpy()
+        after = np.flatnonzero(paragraph[1:] & paragraph[:-1] & (doc[1:] == doc[:-1]) & (page[1:] == page[:-1])) + 1
+        texts = table.column("text")
+        few = [(i, t) for i, t in zip(after.tolist(), texts.take(pa.array(after)).to_pylist(), strict=True) if len(t.split(None, 3)) <= 3]
+        box = {k: table.column(k).to_numpy().astype(np.float64) for k in (*sides, "leading")} if few else {}
+        x0, y0, x1, y1 = (box.get(k) for k in sides)
+        kept, grown = np.ones(table.num_rows, bool), {}
+        at = -1
+        for i, t in few:
+            # the paragraph before is the last row, or the one that has taken it
+            at = i - 1 if kept[i - 1] else at
+            before = grown.get(at)
+            end = before[-1] if before else texts[at].as_py()
+            opens = t[:1].isupper() and end.endswith((".", ":", "?", "!"))
+            below = y0[i] - y1[at] <= box["leading"][i] * 1.6 and min(x1[at], x1[i]) > max(x0[at], x0[i])
+            shorter = max(1.0, min(y1[at] - y0[at], y1[i] - y0[i]))
+            beside = min(y1[at], y1[i]) - max(y0[at], y0[i]) >= shorter * 0.5 and x0[i] >= x0[at]
+            if not opens and not bibliography(t) and (below or beside):
+                if before:
+                    before.append(t)
+                else:
+                    grown[at] = [end, t]
+                kept[i] = False
+                x0[at], y0[at], x1[at], y1[at] = min(x0[at], x0[i]), min(y0[at], y0[i]), max(x1[at], x1[i]), max(y1[at], y1[i])
+        if grown:
+            new = np.zeros(table.num_rows, bool)
+            new[list(grown)] = True
+            said = pc.replace_with_mask(texts.combine_chunks(), pa.array(new), pa.array([" ".join(grown[i]) for i in sorted(grown)], texts.type))
+            table = table.set_column(table.column_names.index("text"), "text", said)
+            for k in sides:
+                table = table.set_column(table.column_names.index(k), k, pa.array(box[k]).cast(table.schema.field(k).type))
+        held = np.cumsum(kept) - 1
+        out = table.set_column(table.column_names.index("ord"), "ord", pa.array(held - held[starts][doc], table.schema.field("ord").type))
+        return out.filter(pa.array(kept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, doc, starts in whole_groups(batches, ["doc_id"]):
+            yield from fold(table.drop_columns(["_at"]), doc, starts).to_batches()
+
+    return blocks.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).mapInArrow(run, schema)
 
 
 def demote_lonely_items(blocks: DataFrame) -> DataFrame:

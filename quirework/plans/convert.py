@@ -24,10 +24,11 @@ FORMATS = {"md": render.to_markdown, "typst": render.to_typst, "text": render.to
 def blocks_of_lines(lines: DataFrame) -> DataFrame:
     """Lines of pages as typed blocks: furniture goes, lines are put in reading order, and assembled.
 
-    lines: ``doc_id, page, ord, text, baseline, size, x0, y0, x1, y1, bold, page_height``.
+    lines: ``doc_id, page, ord, text, baseline, size, x0, y0, x1, y1, bold, page_height``.  What is left of them is
+    written to the shared folder in reading order, since typography, vocabulary and blocks all read it.
     """
     kept = furniture.strip_furniture(lines)
-    ordered = page.in_reading_order(kept.select(*lines.columns))
+    ordered = written(page.in_reading_order(kept.select(*lines.columns)), "lines")
     return B.assemble(ordered, stats.measure(ordered))
 
 
