@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +12,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirework.functions import text as X
 from quirework.operators.groups import whole_groups
-from quirework.operators.vocabulary import may_rejoin, rejoins, vocabulary
-
+from quirework.operators.vocabulary import may_rejoin, rejoins
 
+#: ``SPACE`` of ``functions.text`` as Python has it.
+_SPACE = re.compile("[ \\t\\n\\x0b\\f\\r\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
 def grouped(lines: DataFrame, stats: DataFrame) -> DataFrame:
@@ -49,6 +54,94 @@ def _joined(pieces: Column, right: Column, words: Column) -> Column:
     return F.trim(F.aggregate(pieces, start, add)["text"])
 
 
+class _Words:
+    """Counts of a document's words, as of ``vocabulary``, from its lines: only if a word that is asked for occurs at all."""
+
+    def __init__(self, lines: list[str]) -> None:
+        self.lines, self.low, self.counts = lines, "\n".join(lines).lower(), None
+
+    def count(self, word: str) -> int:
+        if word not in self.low:
+            return 0
+        if self.counts is None:
+            self.counts = Counter(w.lower() for t in self.lines for w in [x for x in _SPACE.split(t) if x][1:-1] if _letters(w))
+        return self.counts[word]
+
+
+def _letters(word: str) -> bool:
+    bare = word.replace("-", "")
+    return bare.isalpha() or (bare == "" and word != "")
+
+
+def _across(head: str, tail: str, words: _Words) -> str | None:
+    """What both sides of a break are together, if they aren't two words: ``_joined`` in Python."""
+
+    def merged(head: str) -> str | None:
+        whole = (head + tail).lower()
+        if not (_letters(head) and _letters(tail) and len(tail) >= 2 and unicodedata.category(tail[0]) != "Lu" and len(whole) >= 6 and tail.replace("-", "")):
+            return None
+        n = words.count(whole)
+        return head + tail if n > 0 and n >= words.count(tail.lower()) * 2 else None
+
+    if head[-1] not in "-‐":
+        return merged(head)
+    if head[:-1] == "":
+        return None
+    both = merged(head[:-1])
+    return head + tail if both is None and all(c == "-" or unicodedata.category(c)[0] in "LN" for c in tail) else both
+
+
+def _with_text(groups: DataFrame) -> DataFrame:
+    """Groups of lines with ``text`` and their place ``ord``, without blank ones: ``_joined`` by the words of each document.
+
+    Documents come whole and in order, as the window leaves them.  Words are counted for those documents alone at
+    whose breaks they are asked for, and no table of words is made.
+    """
+    schema = T.StructType([*(f for f in groups.schema.fields if f.name != "_pieces"), T.StructField("text", T.StringType()), T.StructField("ord", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, doc, starts in whole_groups(batches, ["doc_id"]):
+            pieces = table.column("_pieces").combine_chunks()
+            at = pieces.offsets.to_numpy()
+            lines = pieces.values.field("text").to_pylist()
+            x1, size = (pieces.values.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "size"))
+            right = np.repeat(table.column("x1").to_numpy(), np.diff(at))
+            # breaks at the right edge, but not where a group ends
+            close = np.zeros(at[-1] + 1, bool)
+            close[at[0] : at[-1]] = right - x1[at[0] : at[-1]] <= size[at[0] : at[-1]]
+            close[at[1:] - 1] = False
+            some = np.add.reduceat(close, at[:-1]) > 0 if len(at) > 1 else np.zeros(0, bool)
+            texts, words, of = [], None, -1
+            void = pieces.values.field("text").null_count > 0
+            for g, (a, b, look) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), some.tolist(), strict=True)):
+                if void and None in lines[a:b]:
+                    # a line without text is where a text begins anew
+                    a = max(k for k in range(a, b) if lines[k] is None) + 1
+                    if a == b:
+                        texts.append("")
+                        continue
+                if not look:
+                    texts.append(" ".join(lines[a:b]).strip(" "))
+                    continue
+                if of != doc[g]:
+                    of, last = doc[g], starts[doc[g] + 1] if doc[g] + 1 < len(starts) else table.num_rows
+                    words = _Words([t for t in lines[at[starts[of]] : at[last]] if t is not None])
+                said = lines[a]
+                for k in range(a + 1, b):
+                    line, word = lines[k], None
+                    if close[k - 1]:
+                        head, tail = said[said.rfind(" ") + 1 :], line.split(" ", 1)[0]
+                        word = _across(head, tail, words) if head and tail else None
+                    said = f"{said} {line}" if word is None else said[: len(said) - len(head)] + word + line[len(tail) :]
+                texts.append(said.strip(" "))
+            kept = np.array([t != "" for t in texts], bool)
+            place = np.cumsum(kept) - kept
+            out = table.drop_columns(["_pieces", "_at"]).append_column("text", pa.array(texts, pa.string())).append_column("ord", pa.array(place - place[starts][doc], pa.int32()))
+            yield from out.filter(pa.array(kept)).to_batches()
+
+    return groups.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "group"))).mapInArrow(run, schema)
+
+
 def _is_heading() -> Column:
     n, t = X.count_words(F.col("text")), F.col("text")
     numbered = X.numbered_heading(t)
@@ -56,22 +149,29 @@ def _is_heading() -> Column:
 
 
 def raw_blocks(lines: DataFrame, stats: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """One row per group of lines, classified by itself: caption, heading, list item, footnote or paragraph."""
-    words = vocabulary(lines) if words is None else words
-    maps = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("_words"))
+    """One row per group of lines, classified by itself: caption, heading, list item, footnote or paragraph.
+
+    ``words`` (``doc_id, word, n``) speak for words that breaks have cut; without them those of the lines themselves do.
+    """
     column = F.greatest(F.max(F.col("x1") - F.col("x0")).over(Window.partitionBy("doc_id", "page")), F.lit(1.0))
-    each = grouped(lines, stats).withColumn("column_width", column)
+    # by document at once, which serves what goes by page or by group as well
+    each = grouped(lines.repartition("doc_id"), stats).withColumn("column_width", column)
     piece = F.struct("ord", "text", "x1", "size")
     out = each.groupBy("doc_id", "page", "group").agg(
         F.array_sort(F.collect_list(piece)).alias("_pieces"), F.count(F.lit(1)).alias("n_lines"), F.min("ord").alias("start"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         F.max(F.col("x1") - F.col("x0")).alias("widest"), F.first("column_width").alias("column_width"), F.min_by("size", "ord").alias("size"), F.bool_and("bold").alias("all_bold"), F.first("body_size").alias("body_size"), F.first("leading").alias("leading"), F.first("page_height").alias("page_height"),
     )
-    joined = out.join(maps, "doc_id", "left").withColumn("text", _joined(F.col("_pieces"), F.col("x1"), F.coalesce("_words", F.expr("cast(map() as map<string,bigint>)")))).filter("text <> ''")
+    if words is None:
+        joined = _with_text(out)
+    else:
+        maps = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("_words"))
+        said = out.join(maps, "doc_id", "left").withColumn("text", _joined(F.col("_pieces"), F.col("x1"), F.coalesce("_words", F.expr("cast(map() as map<string,bigint>)")))).filter("text <> ''")
+        joined = said.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "group")) - 1)
     footnote = (F.col("page_height") > 0) & (F.col("size") < F.col("body_size") * 0.92) & (F.col("y0") / F.col("page_height") >= 0.68)
     marker = X.list_marker(F.col("text"))
     kind = F.when(X.is_caption(F.col("text")), "caption").when(_is_heading(), "heading").when(marker.isNotNull(), "list_item").when(footnote, "footnote").otherwise("paragraph")
     ranked = joined.withColumn("type", kind).withColumn("ordered", F.when(kind == "list_item", marker))
-    return ranked.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "group")) - 1).select("doc_id", "ord", "type", F.lit(None).cast("int").alias("level"), "ordered", "text", "page", "x0", "y0", "x1", "y1", "size", "start", "body_size", "leading")
+    return ranked.select("doc_id", "ord", "type", F.lit(None).cast("int").alias("level"), "ordered", "text", "page", "x0", "y0", "x1", "y1", "size", "start", "body_size", "leading")
 
 
 def coalesce_fragments(blocks: DataFrame) -> DataFrame:
