@@ -100,7 +100,9 @@ def _with_text(groups: DataFrame) -> DataFrame:
     schema = T.StructType([*(f for f in groups.schema.fields if f.name != "_pieces"), T.StructField("text", T.StringType()), T.StructField("ord", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, doc, starts in whole_groups(batches, ["doc_id"]):
+        # texts are Python's for some groups at a time
+        few = (batch.slice(k, 2048) for batch in batches for k in range(0, batch.num_rows, 2048))
+        for table, doc, starts in whole_groups(few, ["doc_id"]):
             pieces = table.column("_pieces").combine_chunks()
             at = pieces.offsets.to_numpy()
             lines = pieces.values.field("text").to_pylist()
